@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontamination, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_files
+from palimpsest.llm import decontamination, katz, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": sharding.op3_sharding,
         "op4_quality": quality.op4_quality,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_katz": katz.op7_katz,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_simhash": simhash.op10_simhash,
