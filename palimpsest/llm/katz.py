@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import pack, settled, shuffle_width, unpack
 from palimpsest.llm.hashing import Words, mix
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 SLICE = 1 << 20
 END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567696E)
 #: Counts above this are not discounted.
@@ -149,11 +149,11 @@ class Chunk:
 
     def __init__(self, payload: bytes):
         self.words, places, lengths, self.ids, self.flags = unpack(payload)
-        self.places, self.lengths = places.astype(np.int64), lengths.astype(np.int64)
+        self.places, self.lengths = places.astype(np.int32), lengths.astype(np.int64)
         self.train = np.repeat(~(self.flags & 1).astype(bool), self.lengths)
         starts = np.cumsum(self.lengths) - self.lengths
         self.starts = starts
-        self.before = np.append(len(self.words), self.places[:-1])
+        self.before = np.append(np.int32(len(self.words)), self.places[:-1])
         self.before[starts] = len(self.words)
 
     def counts(self) -> np.ndarray:
@@ -166,7 +166,7 @@ class Chunk:
         names = mix(np.append(self.words, BEGIN))
         keys = mix(names[self.before] * np.uint64(0xD6E8FEB86659FD93) + names[self.places])
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return unique, inverse, first
+        return unique, inverse.astype(np.int32), first.astype(np.int32)
 
 
 def _each(make: Callable[[int, Chunk], Iterator[tuple[int, bytes]]]) -> Callable:
