@@ -18,7 +18,7 @@ by text; an empty table gives no files and an empty result; extra columns are ig
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import atomic_output, filesystem, scratch, shuffle_width
-from palimpsest.llm.encoding import Encoder
+from palimpsest.llm.encoding import encoder
 
 HEAD = 9
 MASK = 0xA282EAD8
@@ -141,7 +141,7 @@ def write(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "t
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        encode, part = encoder(vocabulary).ids, TaskContext.get().partitionId()
         batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
         if first is None:
@@ -164,7 +164,7 @@ def write(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "t
             keys, payloads, held = [], [], 0
             for batch in (b for source in ([first], batches) for b in source):
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    value = np.frombuffer(encoder.ids(t.as_py() or "") + end, "<u4")
+                    value = np.frombuffer(encode(t.as_py() or "") + end, "<u4")
                     body = bytes([k is not None]) + (k or 0).to_bytes(8, "little", signed=True) + value.astype(f"<u{width}").tobytes()
                     keys.append(k)
                     payloads.append(body)
@@ -184,12 +184,10 @@ def write(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "t
     return TokenFiles(root, width, manifest)
 
 
-def read(files: TokenFiles, *, key: str = "doc_id", shuffle_seed: int | None = None, group: int = GROUP) -> DataFrame:
-    """(part, place, key, ids as little-endian unsigned 32-bit bytes) of every record, checksums verified.
-
-    With a seed, each file's records come in a random order by seeking through its index.
-    """
+def _records(files: TokenFiles, shuffle_seed: int | None, group: int, row: Callable[[list[bytes]], list[pa.Array]], columns: str, key: str) -> DataFrame:
+    """A row for each record: part, place, key and what row() makes of the ids (little-endian unsigned 32-bit)."""
     width = files.width
+    names = ["part", "place", key, *(c.split()[0] for c in columns.split(", "))]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,30 +196,32 @@ def read(files: TokenFiles, *, key: str = "doc_id", shuffle_seed: int | None = N
                 with system.open_input_stream(f"{path}.idx") as f:
                     index = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
                 order = np.arange(len(index)) if shuffle_seed is None else np.random.default_rng([shuffle_seed, part]).permutation(len(index))
-                ends = index[:, 1] + 16 + HEAD + index[:, 2] * width
+                sizes = 16 + HEAD + index[:, 2] * width
+                steps = np.cumsum(sizes[order]) // group
                 with system.open_input_file(path) as f:
-                    done = 0
-                    while done < len(order):
-                        stop = done + 1
-                        held = int(ends[order[done]] - index[order[done], 1])
-                        while stop < len(order) and held < group:
-                            held += int(ends[order[stop]] - index[order[stop], 1])
-                            stop += 1
-                        own = order[done:stop]
+                    for own in np.split(order, np.flatnonzero(np.diff(steps)) + 1):
                         if shuffle_seed is None:
-                            f.seek(int(index[own[0], 1]))
-                            block, low = f.read(int(ends[own[-1]] - index[own[0], 1])), int(index[own[0], 1])
-                            frames = [block[int(index[i, 1]) - low : int(ends[i]) - low] for i in own]
+                            low = int(index[own[0], 1])
+                            block = f.read_at(int(index[own[-1], 1] + sizes[own[-1]]) - low, low)
+                            frames = [block[at : at + n] for at, n in zip((index[own, 1] - low).tolist(), sizes[own].tolist())]
                         else:
-                            frames = [f.read_at(int(ends[i] - index[i, 1]), int(index[i, 1])) for i in own]
-                        yield _checked(part, own, frames, width)
-                        done = stop
+                            frames = [f.read_at(int(sizes[i]), int(index[i, 1])) for i in own]
+                        keys, ids = _checked(part, frames, width)
+                        yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int64()), pa.array(own, pa.int64()), pa.array(keys, pa.int64()), *row(ids)], names=names)
 
     one_each = files.files.repartition(max(1, min(shuffle_width(files.files.sparkSession), 10_000)), "part")
-    return one_each.select("part", "path").mapInArrow(take, f"part long, place long, {key} long, ids binary")
+    return one_each.select("part", "path").mapInArrow(take, f"part long, place long, `{key}` long, {columns}")
+
+
+def read(files: TokenFiles, *, key: str = "doc_id", shuffle_seed: int | None = None, group: int = GROUP) -> DataFrame:
+    """(part, place, key, ids as little-endian unsigned 32-bit bytes) of every record, checksums verified.
 
+    With a seed, each file's records come in a random order by seeking through its index.
+    """
+    return _records(files, shuffle_seed, group, lambda ids: [pa.array(ids, pa.binary())], "ids binary", key)
 
-def _checked(part: int, places: np.ndarray, frames: list[bytes], width: int) -> pa.RecordBatch:
+
+def _checked(part: int, frames: list[bytes], width: int) -> tuple[list[int | None], list[bytes]]:
     heads, bodies = [x[:8] for x in frames], [x[12:-4] for x in frames]
     for what, told in ((heads, [x[8:12] for x in frames]), (bodies, [x[-4:] for x in frames])):
         if not np.array_equal(masked(crc32c(what)), np.frombuffer(b"".join(told), "<u4")):
@@ -229,19 +229,13 @@ def _checked(part: int, places: np.ndarray, frames: list[bytes], width: int) ->
     if any(int.from_bytes(h, "little") != len(b) for h, b in zip(heads, bodies)):
         raise ValueError(f"part {part}: a record's length does not match")
     keys = [int.from_bytes(b[1:HEAD], "little", signed=True) if b[0] & 1 else None for b in bodies]
-    ids = [np.frombuffer(b, f"<u{width}", offset=HEAD).astype("<u4").tobytes() for b in bodies]
-    return pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int64()), pa.array(places, pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["part", "place", "key", "ids"])
+    return keys, [np.frombuffer(b, f"<u{width}", offset=HEAD).astype("<u4").tobytes() for b in bodies]
 
 
 def digests(files: TokenFiles, key: str = "doc_id") -> DataFrame:
     """key, start, n_tokens, ids_crc32 of every record, as read back."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["part", "place", "key", "n_tokens", "ids_crc32"])
-
-    rows = read(files, key=key).mapInArrow(sums, f"part long, place long, {key} long, n_tokens long, ids_crc32 long")
+    sums = lambda ids: [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+    rows = _records(files, None, GROUP, sums, "n_tokens long, ids_crc32 long", key)
     # A file's tokens are known from the manifest; within a file, one file's records are one task's work already.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.files.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("__first"))
