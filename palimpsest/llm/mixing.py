@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, WORD
+from palimpsest.llm.common import SPACE, WORD, settled
 
 RANGES = 4096
 #: Keys have 60 bits: 15 hexadecimal digits of an MD5.
@@ -75,6 +75,8 @@ def mix(df: DataFrame, *, key: str = "doc_id", source: str = "source", text: str
     cut = cut.where((F.col("__before") <= F.col("__left")) & (F.col("__left") < F.col("__before") + F.col("__words")))
     cut = cut.select("source", F.col("__key").alias("__cut"), (F.col("__left") - F.col("__before")).alias("__part"), F.col("__words").alias("__tie"))
     plan = goal.join(cut, same(goal, cut), "left").select(goal["source"].alias("__source"), "source_size", "target", "__epochs", "__cut", "__part", "__tie")
+    # One row a source. As a table its size is known before the join is planned: broadcast if small, else by sort and merge.
+    plan = settled(plan, "mix")
     rows = base.withColumns({"__key": random_key(F.col(key), seed), "size": word_count(F.col(text))})
     rows = rows.join(plan, rows[source].eqNullSafe(plan["__source"]))
     # A range with no cut has a budget of whole epochs only.
@@ -86,11 +88,12 @@ def mix(df: DataFrame, *, key: str = "doc_id", source: str = "source", text: str
 
 def materialise(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: each document once for each epoch, and the first words of one that is cut. Documents with no words go once an epoch."""
-    whole = F.col("partial") == F.col("size")
-    times = (F.col("epochs") + F.when(whole & (F.col("size") > 0), 1).otherwise(0)).cast("int")
-    copies = mixed.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).drop("__copy")
-    cut = mixed.where(~whole & (F.col("partial") > 0)).withColumn(text, first_words(F.col(text), F.col("partial")))
-    return copies.unionByName(cut)
+    whole = F.col("epochs") + F.when((F.col("partial") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
+    cut = F.when((F.col("partial") > 0) & (F.col("partial") < F.col("size")), 1).otherwise(0)
+    rows = mixed.withColumns({"__whole": whole.cast("int"), "__all": (whole + cut).cast("int")}).where("__all > 0")
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__all"))))
+    part = F.when(F.col("__copy") > F.col("__whole"), first_words(F.col(text), F.col("partial"))).otherwise(F.col(text))
+    return rows.withColumn(text, part).drop("__copy", "__whole", "__all")
 
 
 def first_words(text: Column, n: Column) -> Column:
