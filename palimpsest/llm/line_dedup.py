@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import settled
+
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -48,9 +50,10 @@ def dropped_keys(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["d", "k"])
 
     found = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(lines, "d long, k binary")
-    keepers = found.groupBy("k").agg(F.min("d").alias("keeper"), F.max("d").alias("last")).where("keeper < last").select("k", "keeper")
-    lost = found.join(keepers, "k").where("d > keeper").select("d", "k").distinct()
-    return lost.groupBy("d").agg(F.collect_list("k").alias("lost")).withColumnRenamed("d", key)
+    # As a table, so that a line which very many documents have is split over tasks when joined.
+    keepers = settled(found.groupBy("k").agg(F.min("d").alias("keeper"), F.max("d").alias("last")).where("keeper < last").select("k", "keeper"), "keepers")
+    lost = found.join(keepers, "k").where("d > keeper").select("d", "k")
+    return lost.groupBy("d").agg(F.collect_set("k").alias("lost")).withColumnRenamed("d", key)
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_chars: int = 10) -> DataFrame:
