@@ -22,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import settled
+
 SYMBOLS = "#*$%&|<>"
 SYMBOL_BYTES = [s.encode() for s in SYMBOLS]
 RESULT = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "char_distance": "double", "word_distance": "double", "kept": "boolean"}
@@ -144,7 +145,7 @@ def references(df: DataFrame, lang: str = "lang", text: str = "text", rules: Rul
     """For each language: the character histogram, each common word's place, and the histogram of these with all other words last."""
     counts = reference_counts(df, lang, text, rules)
     both = counts.withColumn("lang", F.explode(F.array_distinct(F.array("lang", F.lit("")))))
-    both = both.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    both = settled(both.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "reference")
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
     top = both.where("kind = 1").withColumn("place", order).where(F.col("place") <= rules.common_words).drop("place")
     totals = both.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(2).cast("long").alias("kind"), F.lit("").alias("item"), "n")
