@@ -203,17 +203,18 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", *, width: in
     """(key, starts): for each document that has any, the runs (at, n) of window starts to be removed."""
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
     found = settled(docs.mapInArrow(_anchor_rows(width, levels), "k long, h long, d long, at int, n int"), "anchors")
-    shared = found.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("k")
+    # Each side of a join is a table, so a stretch that very many documents share is split over tasks when joined.
+    shared = settled(found.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("k"), "keys")
     met = settled(found.join(shared, "k"), "shared")
-    same = met.groupBy("k", "h").agg(F.min("d").alias("rep"))
-    several = same.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("k")
+    same = settled(met.groupBy("k", "h").agg(F.min("d").alias("rep")), "same")
+    several = settled(same.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("k"), "several")
     marked = met.join(same, ["k", "h"])
     copies = marked.where("d > rep").select("d", "at", "n")
     first = marked.where("d = rep").join(several, "k").select("d", F.struct("at", "n").alias("run"))
     asked = first.groupBy("d").agg(F.collect_list("run").alias("runs"))
     windows = docs.join(asked.hint("shuffle_hash"), "d").mapInArrow(_window_rows(width), "h long, g long, d long, at int")
     windows = settled(windows, "windows")
-    lowest = windows.groupBy("h", "g").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi")
+    lowest = settled(windows.groupBy("h", "g").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi"), "lowest")
     later = windows.join(lowest, ["h", "g"]).where("d > lo").select("d", "at", F.lit(1).alias("n"))
     return copies.union(later).groupBy("d").agg(F.collect_set(F.struct("at", "n")).alias("starts")).withColumnRenamed("d", key)
 
