@@ -19,23 +19,30 @@ from palimpsest.functions.rules import TEMPLATES
 FOUND = T.StructType([T.StructField("best", T.DoubleType()), T.StructField("template", T.StringType())])
 
 
-def _lcs_of_windows(needle: str, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of the needle (at most 63 characters) with each window, bit-parallel over all windows."""
+def _char_masks(needle: str, text: np.ndarray) -> np.ndarray:
+    """For each character of the text, the places that it has in the needle (at most 63 characters), as bits."""
     masks: dict[int, int] = {}
     for i, ch in enumerate(needle):
         masks[ord(ch)] = masks.get(ord(ch), 0) | 1 << i
     known = np.array(sorted(masks), np.uint32)
-    bits = np.append(np.array([masks[int(k)] for k in known], np.uint64), np.uint64(0))
-    place = np.searchsorted(known, text)
-    of_char = bits[np.where((place < len(known)) & (known[np.minimum(place, len(known) - 1)] == text), place, len(known))]
+    bits = np.array([masks[int(k)] for k in known], np.uint64)
+    place = np.minimum(np.searchsorted(known, text), len(known) - 1)
+    return np.where(known[place] == text, bits[place], np.uint64(0))
+
+
+def _step(state: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """One character more, bit-parallel: zeros of the state count the longest common subsequence."""
+    u = state & mask
+    return (state + u) | (state - u)
+
+
+def _lcs_of_windows(needle: str, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of the needle with each window of the text."""
+    of_char = _char_masks(needle, text)
     state = np.full(len(starts), (1 << 64) - 1, np.uint64)
     for j in range(int(lengths.max(initial=0))):
-        inside = j < lengths
-        m = np.where(inside, of_char[np.minimum(starts + j, len(text) - 1)], np.uint64(0))
-        u = state & m
-        state = (state + u) | (state - u)
-    full = np.uint64((1 << len(needle)) - 1)
-    return np.bitwise_count(~state & full).astype(np.int64)
+        state = _step(state, np.where(j < lengths, of_char[np.minimum(starts + j, len(text) - 1)], np.uint64(0)))
+    return np.bitwise_count(~state & np.uint64((1 << len(needle)) - 1)).astype(np.int64)
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -75,15 +82,69 @@ def best_template(text: str | None, ratio=partial_ratio) -> tuple[float, str]:
     return best, found
 
 
-def _udf(ratio):
-    def best(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_template(t, ratio) for t in texts], columns=["best", "template"])
-
-    best.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(best, FOUND).asNondeterministic()
-
-
-_BACKENDS = {"indel": _udf(partial_ratio), "difflib": _udf(difflib_ratio)}
+#: Characters whose windows are compared at once.
+SLICE = 50_000
+
+
+def _long_texts(texts: list[str], template: str) -> np.ndarray:
+    """partial_ratio of each text, all longer than the template.
+
+    Full windows of all texts advance together over one array. The shorter windows at the ends need no windows of their
+    own: the state after k characters, from the front or from the back, is that of the window of k characters.
+    """
+    m = len(template)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.cumsum(lengths) - lengths
+    full, forward = np.uint64((1 << m) - 1), _char_masks(template, chars)
+    state = np.full(len(chars) - m + 1, (1 << 64) - 1, np.uint64)
+    for j in range(m):
+        state = _step(state, forward[j : j + len(state)])
+    counts = np.append(np.bitwise_count(~state & full), np.uint8(0)).astype(np.int64)
+    ends = np.stack([first, first + lengths - m + 1], 1).ravel()
+    best = 100.0 * np.maximum.reduceat(counts, ends)[::2] / m
+    for masks, start, step in ((forward, first, 1), (_char_masks(template[::-1], chars), first + lengths - 1, -1)):
+        state = np.full(len(texts), (1 << 64) - 1, np.uint64)
+        for k in range(m - 1):
+            state = _step(state, masks[start + step * k])
+            best = np.maximum(best, 200.0 * np.bitwise_count(~state & full) / (m + k + 1))
+    return best
+
+
+def best_templates(texts: list[str | None]) -> list[tuple[float, str]]:
+    """best_template of every text; repeated texts are matched once."""
+    found: dict[str | None, tuple[float, str]] = {}
+    held: list[str] = []
+    size = 0
+    for t in [*dict.fromkeys(texts), None]:
+        if t and len(t) > max(map(len, TEMPLATES)):
+            held.append(t)
+            size += len(t)
+        elif t is not None:
+            found[t] = best_template(t)
+        if held and (t is None or size >= SLICE):
+            scores = np.stack([_long_texts(held, template) for template in TEMPLATES])
+            first = scores.argmax(0)
+            for i, text in enumerate(held):
+                best = float(scores[first[i], i])
+                found[text] = (best, TEMPLATES[first[i]]) if best > 0 else (0.0, "")
+            held, size = [], 0
+    found[None] = (0.0, "")
+    return [found[t] for t in texts]
+
+
+@F.pandas_udf(FOUND)
+def _indel(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(best_templates(texts.tolist()), columns=["best", "template"])
+
+
+@F.pandas_udf(FOUND)
+def _difflib(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([best_template(t, difflib_ratio) for t in texts], columns=["best", "template"])
+
+
+# Catalyst would otherwise plan them once for a filter and once for the projection.
+_BACKENDS = {"indel": _indel.asNondeterministic(), "difflib": _difflib.asNondeterministic()}
 
 
 def fuzzy_best(norm: Column, backend: str) -> Column:

@@ -65,6 +65,8 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spans.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(span)).alias("spans")).withColumn("__first", F.substring(F.col("spans")[0]["text"], 1, 200))
     page = F.struct("page", "spans", F.array(note).alias("annots"), F.array(field).alias("widgets"))
     docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    # Few bytes, but long work in the fuzzy rule: a fixed number of parts, which adaptive execution leaves alone.
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     first = F.substring(F.col("pages")[0]["spans"][0]["text"], 1, 200)
     return docs.select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("doc_key"), F.lit(0).cast("bigint").alias("file_size_bytes"), F.lit(None).cast("timestamp").alias("mtime"), F.lit("ok").alias("status"), F.lit("").alias("error"),
