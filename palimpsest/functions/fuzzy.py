@@ -83,7 +83,7 @@ def best_template(text: str | None, ratio=partial_ratio) -> tuple[float, str]:
 
 
 #: Characters whose windows are compared at once.
-SLICE = 50_000
+SLICE = 20_000
 
 
 def _long_texts(texts: list[str], template: str) -> np.ndarray:
