@@ -14,8 +14,9 @@ repeated rows are counted each; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,6 @@ from palimpsest.llm.encoding import PATTERN, Encoder, encoder
 LEAF = 64
 #: A pre-token is decided by at most this many characters after it.
 AHEAD = 4
-EDITS = "array<struct<start:int,end:int,replacement:string>>"
 #: What the query masks, and by what.
 MASKS = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"), (r"https?://[^\s]+", "<URL>"), (r"[0-9a-fA-F]{32,}", "<SECRET>"), (r"\d{7,}", "<NUMBER>"))
 
@@ -160,47 +160,47 @@ def build(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
-def apply_edits(df: DataFrame, vocabulary: str, *, text: str = "text", edits: str = "edits") -> DataFrame:
-    """df (with tree and n_tokens of build()) after the edits: new text, tree and n_tokens, and `chars_encoded`."""
-    names = [c for c in df.columns if c != "chars_encoded"]
+def apply_edits(df: DataFrame, vocabulary: str, *, text: str = "text", edits: str | Callable[[str], list[tuple[int, int, str]]] = "edits") -> DataFrame:
+    """df (with tree and n_tokens of build()) after the edits: new text, tree and n_tokens, `n_edits` and `chars_encoded`.
+
+    edits: the column that holds them (array<struct<start,end,replacement>>), or a function that finds them in a text.
+    """
+    names = [c for c in df.columns if c not in ("n_edits", "chars_encoded")]
     base = df.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", chars_encoded long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", n_edits long, chars_encoded long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
         for b in batches:
             columns = {n: b.column(i) for i, n in enumerate(names)}
-            texts, trees, tokens, encoded = [], [], [], []
-            for t, tree, own in zip(columns[text], columns["tree"], columns[edits].to_pylist()):
+            given = columns[edits] if isinstance(edits, str) else None
+            texts, trees, tokens, number, encoded = [], [], [], [], []
+            for i, (t, tree) in enumerate(zip(columns[text], columns["tree"])):
                 tree, n, t = Tree.load(tree.as_py()), 0, t.as_py()
+                own = edits(t or "") if given is None else [(e["start"], e["end"], e["replacement"] or "") for e in given[i].as_py() or []]
                 if own:
-                    t, n = counter.edit(t or "", tree, [(e["start"], e["end"], e["replacement"] or "") for e in own])
+                    t, n = counter.edit(t or "", tree, own)
                 texts.append(t)
                 trees.append(tree.dump())
                 tokens.append(tree.tokens)
+                number.append(len(own))
                 encoded.append(n)
-            columns |= {text: pa.array(texts, pa.string()), "tree": pa.array(trees, pa.binary()), "n_tokens": pa.array(tokens, pa.int64()), "chars_encoded": pa.array(encoded, pa.int64())}
+            columns |= {text: pa.array(texts, pa.string()), "tree": pa.array(trees, pa.binary()), "n_tokens": pa.array(tokens, pa.int64()), "n_edits": pa.array(number, pa.int64()), "chars_encoded": pa.array(encoded, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return base.mapInArrow(run, schema)
 
 
-def masking_edits(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with `edits` that mask addresses, links, keys and long numbers."""
-    names = [c for c in df.columns if c != "edits"]
-    base, at = df.select(*names), names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + f", edits {EDITS}"
+def masks(text: str) -> list[tuple[int, int, str]]:
+    """Edits that mask addresses, links, keys and long numbers."""
+    return [(m.start(), m.end(), MASKS[m.lastindex - 1][1]) for m in _masks().finditer(text)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
 
-        masks = regex.compile("|".join(f"({p})" for p, _ in MASKS)).finditer
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())]))
-        for b in batches:
-            found = [[{"start": m.start(), "end": m.end(), "replacement": MASKS[m.lastindex - 1][1]} for m in masks(t.as_py() or "")] for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*names, "edits"])
+@functools.cache
+def _masks():
+    import regex
 
-    return base.mapInArrow(run, schema)
+    return regex.compile("|".join(f"({p})" for p, _ in MASKS))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,5 +210,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     counted = build(docs, path).withColumn("n_tokens_before", F.col("n_tokens"))
-    edited = apply_edits(masking_edits(counted), path)
-    return edited.select("doc_id", "n_tokens_before", F.size("edits").cast("long").alias("n_edits"), F.col("n_tokens").alias("n_tokens_after"), F.length("text").cast("long").alias("n_chars_after"), "chars_encoded")
+    edited = apply_edits(counted, path, edits=masks)
+    return edited.select("doc_id", "n_tokens_before", "n_edits", F.col("n_tokens").alias("n_tokens_after"), F.length("text").cast("long").alias("n_chars_after"), "chars_encoded")
