@@ -105,3 +105,29 @@ def first_words(text: Column, n: Column) -> Column:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS s, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM docs GROUP BY source
+), tried AS (
+  SELECT *, 3.0::DOUBLE * s AS cap,
+    (sum(s) OVER () - coalesce(sum(3.0::DOUBLE * s) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM sizes WINDOW before AS (ORDER BY 3.0::DOUBLE * s / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goals AS (
+  SELECT source, s, least(cap, coalesce(w * max(level) FILTER (level <= cap / w) OVER (), cap)) AS target FROM tried
+), budgets AS (
+  SELECT *, CASE WHEN s > 0 THEN floor(target / s)::BIGINT ELSE 0 END AS epochs FROM goals
+), placed AS (
+  SELECT d.doc_id, d.size, b.s, b.target, b.epochs, floor(b.target)::BIGINT - b.epochs * b.s AS rest,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k RANGE UNBOUNDED PRECEDING) - sum(d.size) OVER (PARTITION BY d.source, d.k), 0)::BIGINT AS before,
+    (sum(d.size) OVER (PARTITION BY d.source, d.k))::BIGINT AS tie
+  FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, s AS source_size, target,
+  epochs * size + CASE WHEN before + tie <= rest THEN size WHEN before < rest THEN ((rest - before) * size) // tie ELSE 0 END AS taken
+FROM placed
+"""

@@ -28,5 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": mixing.OP2_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
     }
