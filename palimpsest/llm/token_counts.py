@@ -29,8 +29,13 @@ from palimpsest.llm.encoding import PATTERN, Encoder, encoder
 LEAF = 64
 #: A pre-token is decided by at most this many characters after it.
 AHEAD = 4
-#: What the query masks, and by what.
-MASKS = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"), (r"https?://[^\s]+", "<URL>"), (r"[0-9a-fA-F]{32,}", "<SECRET>"), (r"\d{7,}", "<NUMBER>"))
+#: What the query masks: a string that a match must hold, the pattern, the replacement.
+MASKS = (
+    ("@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
+    ("://", r"https?://[^\s]+", "<URL>"),
+    ("", r"[0-9a-fA-F]{32,}", "<SECRET>"),
+    ("", r"\d{7,}", "<NUMBER>"),
+)
 
 
 @dataclass
@@ -192,15 +197,24 @@ def apply_edits(df: DataFrame, vocabulary: str, *, text: str = "text", edits: st
 
 
 def masks(text: str) -> list[tuple[int, int, str]]:
-    """Edits that mask addresses, links, keys and long numbers."""
-    return [(m.start(), m.end(), MASKS[m.lastindex - 1][1]) for m in _masks().finditer(text)]
+    """Edits that mask addresses, links, keys and long numbers; of those that overlap, the first to begin, in the order of MASKS."""
+    found = []
+    for order, (needed, pattern, new) in enumerate(_masks()):
+        if needed in text:
+            found += [(m.start(), order, m.end(), new) for m in pattern.finditer(text)]
+    out, at = [], 0
+    for start, _, end, new in sorted(found):
+        if start >= at:
+            out.append((start, end, new))
+            at = end
+    return out
 
 
 @functools.cache
 def _masks():
-    import regex
+    import re
 
-    return regex.compile("|".join(f"({p})" for p, _ in MASKS))
+    return [(needed, re.compile(pattern), new) for needed, pattern, new in MASKS]
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
