@@ -41,7 +41,7 @@ CHUNK = 1 << 20
 @dataclass(frozen=True)
 class Rules:
     width: int = 13
-    min_literal: int = 4
+    min_literal: int = 7
     min_words: int = 6
     block: int = 1_000_000
 
