@@ -34,7 +34,7 @@ from palimpsest.llm.hashing import mix, prefixes, span_hash
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
 UNITS = "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs oz ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur kmh mph hz khz mhz ghz kb mb gb tb degree degrees celsius fahrenheit watt watts volt volts meter meters metre metres kilometer kilometers kilometre kilometres".split()
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—*_`|/\\"
-TABLE = 400_000
+TABLE = 100_000
 CHUNK = 1 << 20
 
 

@@ -31,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 SYMBOL_BYTES = [s.encode() for s in SYMBOLS]
 RESULT = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "char_distance": "double", "word_distance": "double", "kept": "boolean"}
 #: Words met by a task before it hands on its counts.
-HELD = 300_000
+HELD = 150_000
 BLANK = b" \t\n\x0b\x0c\r"
 
 
