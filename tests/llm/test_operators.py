@@ -250,6 +250,41 @@ def test_simhash(docs, rows, dense):
     assert got == brute.simhash(pairs(rows))
 
 
+def copies():
+    """A chain of near copies, each a few words from the one before, a crowd around one text, and unlike texts."""
+    import random
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    new = lambda n: [rnd.choice(words) for _ in range(n)]
+    rows, chain, centre = [], new(150), new(200)
+    for _ in range(12):
+        chain[rnd.randrange(150)] = rnd.choice(words)
+        rows.append(" ".join(chain))
+    for k in range(150):
+        own = list(centre)
+        for _ in range(k % 7):
+            own[rnd.randrange(200)] = rnd.choice(words)
+        rows.append(" ".join(own))
+    rows += [" ".join(new(rnd.randint(1, 90))) for _ in range(60)] + ["", "A b", "a B", "a b c"]
+    rnd.shuffle(rows)
+    return list(enumerate(rows, 3))
+
+
+@pytest.mark.parametrize("dense", [64, 2])
+def test_similar(spark, dense):
+    rows = copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.similar(rows)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, dense=dense).collect()} == want
+    kept = simhash.drop_near_duplicates(docs, dense=dense)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == ["doc_id", "text"]
+
+
+def test_similar_on_documents(docs, rows):
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()} == brute.similar(pairs(rows))
+
+
 def test_thresholds_cover_the_distance():
     rnd = np.random.default_rng(5)
     both = np.full((64, 64), 250.0)
@@ -257,6 +292,8 @@ def test_thresholds_cover_the_distance():
     for n in (10, 1000, 10**9):
         parts = simhash.plan(n, both * n / 1000, 2)
         assert sum(t + 1 for _, t in parts) == 3 and sum(len(p) for p, _ in parts) <= 64
+        wide = simhash.plan(n, both * n / 1000, 11, halved=True)
+        assert sum(t + 1 for _, t in wide) == 12
 
 
 # odd cases
@@ -273,6 +310,7 @@ RUNS = {
     "7": katz.score,
     "8": line_dedup.dedup_lines,
     "10": simhash.near_duplicates,
+    "10s": simhash.similar,
 }
 
 
