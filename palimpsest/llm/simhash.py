@@ -134,7 +134,7 @@ def expected_cost(n: int, p: np.ndarray, part: list[int], t: int, halved: bool =
     for d in differ:
         chances = np.convolve(chances, [1 - d, d])
     filed = sum(math.comb(len(part), k) for k in range(min(-(-t // 2) if halved else t, len(part)) + 1))
-    return n * filed + n * (n - 1) / 2 * float(chances[: t + 1].sum())
+    return max(n, 1) * filed + n * (n - 1) / 2 * float(chances[: t + 1].sum())
 
 
 def allotted(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
