@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import settled
+from palimpsest.llm.common import settled, shuffle_width
 from palimpsest.llm.components import components
 
 BITS = 64
 SEED = 42
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Rows of one to three longs that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 19
 
 
 def hashes(text: str | None, words: int) -> np.ndarray:
@@ -244,11 +246,13 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: in
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= within
     against = lambda pairs: settled(_verified(df, nodes, pairs, key, text, words, similarity, print_words), "similar")
 
+    # At most two rows a value, and there are no more values than the parts' bits can tell apart.
+    held_small = F.broadcast if 2 * sum(2 ** len(part) for part, _ in parts) <= BROADCAST_ROWS + 2 else lambda rows: rows
     filed = _filed(nodes.select("fp"), parts)
     spread = F.xxhash64("fp")
     pivots = filed.groupBy("value").agg(F.min_by("fp", spread).alias("p"), F.max_by("fp", spread).alias("q")).where("p <> q")
     pivots = pivots.select("value", F.explode(F.array("p", "q")).alias("p"))
-    tried = filed.join(pivots, (filed["value"] == pivots["value"]) & (F.col("fp") != F.col("p")) & near("fp", "p"))
+    tried = filed.join(held_small(pivots), (filed["value"] == pivots["value"]) & (F.col("fp") != F.col("p")) & near("fp", "p"))
     edges = against(tried.select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")).distinct())
 
     rooted = nodes.select("fp").join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -256,10 +260,12 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: in
     large = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("root")
     held = _filed(rooted.join(large, "root").select("fp", "root"), parts).groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
     major = held.groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
-    left = _filed(rooted, parts).join(major, "value", "left").where("major is null or root <> major").withColumnsRenamed({"fp": "a", "root": "ra"})
-    right = _filed(rooted, parts).withColumnsRenamed({"fp": "b", "root": "rb", "value": "at"})
+    # Both sides are the same exchange, which is made once.
+    left = _filed(rooted, parts).join(held_small(major.withColumnRenamed("value", "of")), F.col("value") == F.col("of"), "left").where("major is null or root <> major")
+    left = left.select(F.col("value").alias("here"), F.col("fp").alias("a"), F.col("root").alias("ra"), "major")
+    right = _filed(rooted, parts).select("value", F.col("fp").alias("b"), F.col("root").alias("rb"))
     once = (F.col("a") < F.col("b")) | F.coalesce(F.col("rb") == F.col("major"), F.lit(False))
-    rest = left.join(right, (F.col("value") == F.col("at")) & (F.col("ra") != F.col("rb")) & once & near("a", "b"))
+    rest = left.join(right.hint("merge"), (F.col("here") == F.col("value")) & (F.col("ra") != F.col("rb")) & once & near("a", "b"))
     more = against(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return _named(docs, nodes, edges.union(more), key)
 
@@ -270,14 +276,16 @@ def _filed(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     The bits of a value tell its part; only zero is shared between parts, where a few more meet.
     """
     values = [F.col("fp").bitwiseAND(F.lit(mask_of(part))).bitwiseXOR(F.lit(f)) for part, t in parts for f in flips(part, -(-t // 2))]
-    return nodes.withColumn("value", F.explode(F.array_distinct(F.array(*values))))
+    spread = nodes.repartition(shuffle_width(nodes.sparkSession), "fp")
+    return spread.withColumn("value", F.explode(F.array(*values)))
 
 
 def _verified(df: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, text: str, words: int, similarity: float, print_words: int) -> DataFrame:
     """The pairs (a, b) of fingerprints whose texts have the similarity. Shingles are made for texts in a pair only."""
     pairs = settled(pairs, "pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    keys = nodes.join(met, "fp").select(F.col("low").alias(key)).distinct()
+    keys = settled(nodes.join(met, "fp").select(F.col("low").alias(key)).distinct(), "keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
