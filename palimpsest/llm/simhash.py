@@ -43,6 +43,8 @@ BITS = 64
 SEED = 42
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: What it costs to file a row, shuffled and sorted, in comparisons of a pair that meets.
+FILED = 30
 #: Rows of one to three longs that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
 
@@ -136,7 +138,7 @@ def expected_cost(n: int, p: np.ndarray, part: list[int], t: int, halved: bool =
     for d in differ:
         chances = np.convolve(chances, [1 - d, d])
     filed = sum(math.comb(len(part), k) for k in range(min(-(-t // 2) if halved else t, len(part)) + 1))
-    return max(n, 1) * filed + n * (n - 1) / 2 * float(chances[: t + 1].sum())
+    return max(n, 1) * filed * (FILED if halved else 1) + n * (n - 1) / 2 * float(chances[: t + 1].sum())
 
 
 def allotted(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -250,8 +252,10 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: in
     held_small = F.broadcast if 2 * sum(2 ** len(part) for part, _ in parts) <= BROADCAST_ROWS + 2 else lambda rows: rows
     filed = _filed(nodes.select("fp"), parts)
     spread = F.xxhash64("fp")
-    pivots = filed.groupBy("value").agg(F.min_by("fp", spread).alias("p"), F.max_by("fp", spread).alias("q")).where("p <> q")
-    pivots = pivots.select("value", F.explode(F.array("p", "q")).alias("p"))
+    # Pivots are of those that have the value themselves.
+    own = nodes.select("fp", F.explode(F.array(*(F.col("fp").bitwiseAND(F.lit(mask_of(part))) for part, _ in parts))).alias("value"))
+    pivots = own.groupBy("value").agg(F.min_by("fp", spread).alias("p"), F.max_by("fp", spread).alias("q"))
+    pivots = pivots.select("value", F.explode(F.array_distinct(F.array("p", "q"))).alias("p"))
     tried = filed.join(held_small(pivots), (filed["value"] == pivots["value"]) & (F.col("fp") != F.col("p")) & near("fp", "p"))
     edges = against(tried.select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")).distinct())
 
