@@ -8,7 +8,7 @@ A literal window that matches is a leak. A typed one is only if its slots are co
 stretch: wherever the benchmark item has the same value in two slots, the document has too, and different names stay
 different. So a question with other numbers and names is caught, and chance meetings of placeholders are not. Windows
 with fewer than `min_literal` words that aren't placeholders are not looked up. Items shorter than a window, of at least
-`min_words` words, are one window as a whole.
+`min_words` words, are one window as a whole, which needs such words in proportion to its length.
 
 The benchmark is a stated set of queries. It is taken in blocks of at most `block` windows, so what every task gets is
 bounded, and each block passes over the documents once.
@@ -41,10 +41,14 @@ CHUNK = 1 << 20
 @dataclass(frozen=True)
 class Rules:
     width: int = 13
-    min_literal: int = 7
+    min_literal: int = 4
     min_words: int = 6
     block: int = 1_000_000
 
+    def literal_words(self, n: int) -> int:
+        """How many words of a typed window of n words must not be placeholders."""
+        return -(-self.min_literal * n // self.width)
+
 
 class Canon(dict):
     """A word as it stands to its row in `literal`, `typed` (64-bit hashes) and `slot` (is it a placeholder)."""
@@ -140,7 +144,7 @@ def _windows(canon: Canon, rows: np.ndarray, n: int, rules: Rules) -> Iterator[t
     at = np.arange(len(rows) - n + 1)
     slots = np.concatenate([[0], np.cumsum(np.array(canon.slot, bool)[rows])])
     filled = slots[at + n] - slots[at]
-    for kind, enough in ((canon.literal, np.ones(len(at), bool)), (canon.typed, (filled > 0) & (n - filled >= rules.min_literal))):
+    for kind, enough in ((canon.literal, np.ones(len(at), bool)), (canon.typed, (filled > 0) & (n - filled >= rules.literal_words(n)))):
         sums = prefixes(np.array(kind, np.uint64)[rows])
         yield mix(span_hash(sums, at, at + n) + np.uint64(n)), enough
 

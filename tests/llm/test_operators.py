@@ -240,6 +240,23 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(spark.createDataFrame([(1, swapped)], "doc_id long, text string"), item, rules=decontamination.Rules(width=19)).count() == 0
 
 
+DENSE = {
+    1: ("Anna walks 3 km in 2 hours and Ben walks 5 km in 4 hours", "Mia walks 7 km in 6 hours and Leo walks 9 km in 8 hours"),
+    2: ("Tom has 5 apples and buys 3 more", "Eva has 8 apples and buys 2 more"),
+    3: ("Tom buys 3 and sells 4", "Eva buys 6 and sells 9"),
+}
+
+
+def test_items_dense_in_placeholders_leak(spark):
+    bench = spark.createDataFrame([(k, item) for k, (item, _) in DENSE.items()], "item_id long, text string")
+    rows = [(k, f"so it was that {leak} as they say") for k, (_, leak) in DENSE.items()]
+    rows.append((4, "so Mia walks 7 km in 6 hours and Mia walks 9 km in 8 hours"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.literal) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1, False), (2, 2, False), (3, 3, False)}
+    assert [r.doc_id for r in decontamination.decontaminate(docs, bench).collect()] == [4]
+
+
 # 10: SimHash
 
 
