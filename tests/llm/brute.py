@@ -98,6 +98,29 @@ def similar(rows, words=5, similarity=0.8, print_words=2, within=11):
     return {d: low[find(f)] for d, f in prints.items()}
 
 
+def jaccard(rows, words=5, similarity=0.8):
+    """Components of rows whose sets of shingles are equal or have the similarity; every pair is compared."""
+    sets = {}
+    for d, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[d] = frozenset(tuple(w[k : k + words]) for k in range(len(w) - words + 1)) if len(w) >= words else frozenset({tuple(w)} - {()})
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in sets}
+
+
 def quality_base(text):
     text = text or ""
     w = WORD.findall(text)

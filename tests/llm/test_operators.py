@@ -302,6 +302,32 @@ def test_similar_on_documents(docs, rows):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()} == brute.similar(pairs(rows))
 
 
+def block_edits():
+    """Copies that lack or add one block, at similarities of 0.8 to 0.95."""
+    import random
+
+    rnd = random.Random(9)
+    new = lambda n: [f"v{rnd.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for n in (30, 60, 200):
+        for share in (0.05, 0.1, 0.15, 0.19):
+            for _ in range(12):
+                own, cut = new(n), int(n * share)
+                rows += [own, rnd.choice((own[cut:], own[: n - cut], own + new(cut), new(cut) + own))]
+    rows = [" ".join(r) for r in rows]
+    rnd.shuffle(rows)
+    return list(enumerate(rows, 1))
+
+
+@pytest.mark.parametrize("dense", [64, 2])
+def test_similar_by_plain_jaccard(spark, dense):
+    rows = block_edits()
+    want = brute.jaccard(rows)
+    assert want != brute.similar(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, dense=dense).collect()} == want
+
+
 def test_thresholds_cover_the_distance():
     rnd = np.random.default_rng(5)
     both = np.full((64, 64), 250.0)
