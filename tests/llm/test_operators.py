@@ -328,6 +328,28 @@ def test_similar_by_plain_jaccard(spark, dense):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, dense=dense).collect()} == want
 
 
+def leaders():
+    """Different texts in which one pair of words outweighs all others, so their fingerprints are equal; and a near copy of one."""
+    rows = [" ".join([*(f"t{k}x{i}" for i in range(150)), *[". . . . . ."] * 12]) for k in range(8)]
+    return list(enumerate([*rows, rows[5] + " end"], 1))
+
+
+def test_equal_fingerprints_are_held_shingle_by_shingle(spark):
+    rows = leaders()
+    prints = brute.simhash(rows, 2, -1)
+    assert len({f for f, _ in prints.values()}) < 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()} == brute.jaccard(rows) == {**{k: k for k in range(1, 9)}, 9: 6}
+    assert simhash.drop_near_duplicates(docs).count() == 8
+
+
+def test_similar_rows_without_key(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(None, base), (4, base + " end"), (None, "other words here")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.similar(docs).collect())
+    assert got == [(0, 0), (0, 4), (4, 4)]
+
+
 def test_thresholds_cover_the_distance():
     rnd = np.random.default_rng(5)
     both = np.full((64, 64), 250.0)
