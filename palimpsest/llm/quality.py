@@ -5,9 +5,10 @@ references are summed over all its documents of at least `min_words` words and f
 (square root of the divergence in bits, 0 to 1). Short texts scatter, so there are minimum-length guards: no comparison
 of words below `min_words_compared`, and what sampling alone adds to the divergence of a text of n words is taken off.
 
-The language is the `lang` column where it holds a code of two or three letters, else all documents together; that bounds
-the references, which every task gets, at 26**2 + 26**3 + 1 languages. A language of fewer than `min_reference_words`
-words is compared with all documents together.
+The language is the primary subtag of the `lang` column in lower case ('de' of 'de-DE', 'DE' and 'de_at') where that is two or
+three letters, which bounds the references, which every task gets, at 26**2 + 26**3 languages. A text with no such code is
+held against the language nearest to it. A language of fewer than `min_reference_words` words has no reference: its
+texts, and those with no code where no language has one, are judged by the base rules only, with a distance of 0.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null lang counts as none; repeated rows are
 judged alike; an empty table gives an empty result; extra columns stay, those named like a result column are replaced.
@@ -107,11 +108,12 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def language(lang: Column) -> Column:
-    return F.when(lang.rlike("^[a-z]{2,3}$"), lang).otherwise(F.lit(""))
+    """The primary subtag of a code, in lower case; '' where it isn't two or three letters."""
+    return F.coalesce(F.regexp_extract(F.lower(F.trim(lang)), r"^([a-z]{2,3})(?:[-_.@].*)?$", 1), F.lit(""))
 
 
 def reference_counts(df: DataFrame, lang: str, text: str, rules: Rules) -> DataFrame:
-    """(lang, kind, item, n) over all documents: kind 0 are character classes, kind 1 words; also under lang '' for all together."""
+    """(lang, kind, item, n) over all documents: kind 0 are character classes, kind 1 words. Texts with no language are in none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -137,15 +139,13 @@ def reference_counts(df: DataFrame, lang: str, text: str, rules: Rules) -> DataF
                     yield out()
         yield out()
 
-    found = df.select(language(F.col(lang)), text).mapInArrow(count, "lang string, kind long, item string, n long")
+    found = df.select(language(F.col(lang)).alias("__lang"), text).where("__lang <> ''").mapInArrow(count, "lang string, kind long, item string, n long")
     return found.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
 def references(df: DataFrame, lang: str = "lang", text: str = "text", rules: Rules = Rules()) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """For each language: the character histogram, each common word's place, and the histogram of these with all other words last."""
-    counts = reference_counts(df, lang, text, rules)
-    both = counts.withColumn("lang", F.explode(F.array_distinct(F.array("lang", F.lit("")))))
-    both = settled(both.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "reference")
+    both = settled(reference_counts(df, lang, text, rules), "reference")
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
     top = both.where("kind = 1").withColumn("place", order).where(F.col("place") <= rules.common_words).drop("place")
     totals = both.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(2).cast("long").alias("kind"), F.lit("").alias("item"), "n")
@@ -182,6 +182,12 @@ def distances(text: str | None, known: tuple[np.ndarray, dict[bytes, int], np.nd
     return by_char, math.sqrt(max(0.0, divergence(counts, words) - chance))
 
 
+def nearest(text: str | None, known: dict[str, tuple], rules: Rules) -> tuple[float, float | None]:
+    """The distances from the language that is nearest in words, or in characters where words are too few; 0 where there is none."""
+    found = [distances(text, k, rules) for k in known.values()]
+    return min(found, key=lambda d: (d[0] if d[1] is None else d[1], d[0]), default=(0.0, None))
+
+
 def judge(df: DataFrame, *, lang: str = "lang", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """df with the base figures, the two distances and the verdict `kept`."""
     rows = df.drop(*RESULT)
@@ -197,8 +203,7 @@ def judge(df: DataFrame, *, lang: str = "lang", text: str = "text", rules: Rules
                 t = t.as_py()
                 figures = base(t)
                 failed = figures[0] < rules.min_words or 100 * figures[4] > rules.max_repeat_percent * figures[0]
-                held = known.get(k) or known.get("")
-                by_char, by_word = distances(t, held, rules) if held else (0.0, None)
+                by_char, by_word = nearest(t, {k: known[k]} if k in known else {} if k else known, rules)
                 kept = not failed and by_char <= rules.max_char_distance and (by_word is None or by_word <= rules.max_word_distance)
                 out.append((*figures, failed, by_char, by_word, kept))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]

@@ -138,6 +138,19 @@ def test_quality_verdict(spark):
     assert good > 0.98 and bad < 0.05
 
 
+def test_quality_of_a_minor_language(spark):
+    import random
+
+    rnd = random.Random(3)
+    common = {"en": "the of and to in is that for it as was with be by on not he his but at".split(), "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch".split()}
+    make = lambda k, n: " ".join(rnd.choice(common[k]) if rnd.random() < 0.6 else f"{rnd.choice('abdegklmnoprst')}{rnd.choice('aeiou')}{rnd.choice('lmnrst')}{rnd.choice('aeiou')}" for _ in range(n)) + "."
+    rows = [(i, make("en", 200), "en") for i in range(90)] + [(100 + i, make("de", 200), ("de-DE", "DE", "de_at", "de")[i % 4]) for i in range(8)]
+    rows += [(200, make("de", 200), None), (201, make("en", 200), "unknown"), (202, make("de", 200), "nds"), (203, "%9 #8 &7 " * 100 + make("en", 90), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = by_id(quality.judge(docs), "kept", "base_failed")
+    assert [d for d, (k, _) in kept.items() if not k] == [203]
+
+
 def test_divergence():
     a, b = np.array([1.0, 0.0]), np.array([0.0, 3.0])
     assert quality.divergence(a, a) == 0 and quality.divergence(a, b) == pytest.approx(1) and quality.divergence(a, np.zeros(2)) == 0
