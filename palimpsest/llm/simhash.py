@@ -15,13 +15,6 @@ Their members are filed under every fingerprint within within/2 flips of their o
 they link, and a meeting place has at most as many members as it has neighbours, so the work is in proportion to the
 members.
 
-near_duplicates() takes distance of fingerprints as the law. similar() takes Jaccard similarity of word shingles as the law.
-Its nodes are distinct sets of shingles, and candidates come from a prefix filter, which loses none: shingles have one
-order, and of two sets with the similarity each has a shared one among its first. All candidates are held shingle by
-shingle. Shingles under which many meet are settled in two passes, neither of which emits all pairs of a group: first
-everyone is held against two members of each; then those outside its largest component so far are held against all
-members of other components. What is in one component already needs no comparison, so nothing is left out.
-
 Defined cases: a null or empty text has no shingles and fingerprint 0, which links like any other; rows of equal doc_id
 keep their own fingerprints; a null doc_id is in a component but gives it no name; an empty table gives an empty result.
 """
@@ -37,21 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import settled, shuffle_width
+from palimpsest.llm.common import settled
 from palimpsest.llm.components import components
 
 BITS = 64
 SEED = 42
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
-#: What it costs to file a row, shuffled and sorted, in comparisons of a pair that meets.
-FILED = 30
-#: Rows of one to three longs that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 19
-#: Shingles that a worker holds at once.
-HELD_GRAMS = 1 << 16
-#: Common shingles told to every task at most.
-COMMON = 1 << 17
 
 
 def hashes(text: str | None, words: int) -> np.ndarray:
@@ -134,16 +119,16 @@ def grouped(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def expected_cost(n: int, p: np.ndarray, part: list[int], t: int, halved: bool = False) -> float:
-    """Rows filed (within t flips, or t/2 rounded up) and candidate pairs expected of a part with threshold t, with bits taken as independent."""
+def expected_cost(n: int, p: np.ndarray, part: list[int], t: int) -> float:
+    """Rows filed (within t flips) and candidate pairs expected of a part with threshold t, with bits taken as independent."""
     if t < 0:
         return 0.0
     differ = 2 * p[part] * (1 - p[part])
     chances = np.array([1.0])
     for d in differ:
         chances = np.convolve(chances, [1 - d, d])
-    filed = sum(math.comb(len(part), k) for k in range(min(-(-t // 2) if halved else t, len(part)) + 1))
-    return max(n, 1) * filed * (FILED if halved else 1) + n * (n - 1) / 2 * float(chances[: t + 1].sum())
+    filed = sum(math.comb(len(part), k) for k in range(min(t, len(part)) + 1))
+    return max(n, 1) * filed + n * (n - 1) / 2 * float(chances[: t + 1].sum())
 
 
 def allotted(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -159,13 +144,13 @@ def allotted(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan(n: int, both: np.ndarray, within: int, halved: bool = False) -> list[tuple[list[int], int]]:
+def plan(n: int, both: np.ndarray, within: int) -> list[tuple[list[int], int]]:
     """Parts and thresholds of the cheapest number of parts."""
     p = np.diag(both) / max(n, 1)
     tried = []
     for m in range(1, within + 3):
         parts = grouped(n, both, m)
-        cost, thresholds = allotted([[expected_cost(n, p, part, t, halved) for t in range(-1, within + 1)] for part in parts], within - m + 1)
+        cost, thresholds = allotted([[expected_cost(n, p, part, t) for t in range(-1, within + 1)] for part in parts], within - m + 1)
         tried.append((cost, m, parts, thresholds))
     _, _, parts, thresholds = min(tried)
     return [(part, t) for part, t in zip(parts, thresholds) if t >= 0]
@@ -229,175 +214,16 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     """(key, fp, component_id): the smallest key reachable over links, a row for each row of df."""
     docs = settled(fingerprints(df, text=text, words=words, carry=[key]), "fingerprints")
     nodes = settled(docs.groupBy("fp").agg(F.min(key).alias("low")), "nodes")
-    return _named(docs, nodes, links(nodes, within, dense), key)
+    return named(docs, nodes, links(nodes, within, dense), key)
 
 
-def _named(docs: DataFrame, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+def named(docs: DataFrame, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     named = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = settled(named.join(names, "root").select("fp", "component_id"), "components")
     return docs.join(of, "fp").select(key, "fp", "component_id")
 
 
-def set_print(grams: np.ndarray) -> int:
-    """A signed 64-bit hash of a set of shingles, given in order; 0 for none."""
-    import xxhash
-
-    return signed(xxhash.xxh64_intdigest(grams.tobytes(), SEED)) if len(grams) else 0
-
-
-def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, dense: int = 64) -> DataFrame:
-    """(key, fp, component_id), linked where the sets of shingles of `words` words have the Jaccard similarity or more.
-
-    A node is a set of shingles, and fp its hash. Every pair with the similarity is linked, at least through others.
-    """
-    docs = settled(_sets(df, key, text, words, grams=False), "sets")
-    nodes = settled(docs.groupBy("fp").agg(F.min(key).alias("low")), "nodes")
-    # Rows that are the first of no set go; those of a null key stay, as nothing else names them.
-    lows = nodes.select("low").where("low is not null").distinct()
-    gone = settled(docs.select(key).join(lows, F.col(key) == F.col("low"), "left_anti").where(F.col(key).isNotNull()).distinct(), "copies")
-    firsts = df.join(_held(gone), key, "left_anti").select(text)
-    against = lambda pairs: settled(_verified(df, nodes, pairs, key, text, words, similarity), "similar")
-
-    filed = settled(_filed(firsts, words, similarity, _common(firsts, words, dense)), "filed")
-    ends = filed.groupBy("value").agg(F.min("fp").alias("p"), F.max("fp").alias("q")).where("p <> q")
-    met = settled(filed.join(ends, "value"), "met")
-    pivots = met.where("fp = p or fp = q").select("value", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j")).distinct()
-    tried = met.select("value", F.col("fp").alias("a"), "n", "at").join(pivots, "value").where("a <> b")
-    tried = tried.where(_possible(F.col("n"), F.col("at"), F.col("nb"), F.col("j"), similarity))
-    edges = against(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    roots = components(edges).withColumnRenamed("node", "fp")
-    rooted = settled(met.select("value", "fp", "n", "at").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    held = rooted.groupBy("value", "root").agg(F.count(F.lit(1)).alias("members"))
-    mixed = held.groupBy("value").agg(F.max_by("root", F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    rest = settled(rooted.join(mixed, "value"), "mixed")
-    left = rest.where("root <> major").select("value", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("root").alias("ra"), "major")
-    right = rest.select(F.col("value").alias("here"), F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("root").alias("rb"))
-    once = (F.col("a") < F.col("b")) | (F.col("rb") == F.col("major"))
-    fits = _possible(F.col("na"), F.col("i"), F.col("nb"), F.col("j"), similarity)
-    more = left.join(right.hint("merge"), (F.col("value") == F.col("here")) & (F.col("ra") != F.col("rb")) & once & fits)
-    more = against(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return _named(docs, nodes, edges.union(more), key)
-
-
-def _held(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-
-
-def _sets(df: DataFrame, key: str | None, text: str, words: int, grams: bool) -> DataFrame:
-    """The hash of each text's set of shingles, with the key where one is given, and with the shingles if asked for."""
-    names = ([key] if key else []) + [text]
-    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, " if key else ""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low, size, prints, sets = 0, 0, [], []
-            for i, t in enumerate(b.column(b.num_columns - 1)):
-                own = np.unique(hashes(t.as_py(), words))
-                prints.append(set_print(own))
-                if grams:
-                    sets.append(own.view(np.int64))
-                    size += len(own)
-                if size >= HELD_GRAMS or i + 1 == b.num_rows:
-                    columns = [*(c.slice(low, i + 1 - low) for c in b.columns[:-1]), pa.array(prints, pa.int64())]
-                    columns += [pa.array(sets, pa.list_(pa.int64()))] if grams else []
-                    yield pa.RecordBatch.from_arrays(columns, names=[*names[:-1], "fp", "grams"][: len(columns)])
-                    low, size, prints, sets = i + 1, 0, [], []
-
-    return df.select(*names).mapInArrow(run, kind + "fp long" + (", grams array<long>" if grams else ""))
-
-
-def _common(firsts: DataFrame, words: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many texts, in order, and their ranks. Any choice is right: it orders shingles only, so that few meet."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = n >= min(4, dense)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["value", "n"])
-
-        for b in batches:
-            for t in b.column(0):
-                held.append(np.unique(hashes(t.as_py(), words)))
-                size += len(held[-1])
-                if size >= 8 * HELD_GRAMS:
-                    yield out()
-                    size = 0
-        yield out()
-
-    found = firsts.mapInArrow(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") > min(16, dense))
-    rows = found.orderBy(F.desc("n"), "value").limit(COMMON).toArrow()
-    values, n = rows.column("value").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    ranks = np.empty(len(n), np.int64)
-    ranks[np.lexsort((values, n))] = np.arange(1, len(n) + 1)
-    order = np.argsort(values)
-    return values[order], ranks[order]
-
-
-def _filed(firsts: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(value, fp, n, at): every set of n shingles under as many of its first ones as the similarity lets it lack, and one more.
-
-    Shingles are in one order for all sets, common ones last. Two sets with the similarity share one of those filed; at
-    the first they share, place `at` bounds how many they have in common.
-    """
-    known, ranks = common
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, prints, sizes, places, size = [], [], [], [], 0
-            for i, t in enumerate(b.column(0)):
-                own = np.unique(hashes(t.as_py(), words))
-                if n := len(own):
-                    rank = np.zeros(n, np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        rank = np.where(known[at] == own, ranks[at], 0)
-                    first = own[np.argsort(rank, kind="stable")][: n - math.ceil(similarity * n - 1e-9) + 1]
-                    values.append(first.view(np.int64))
-                    prints.append(np.full(len(first), set_print(own), np.int64))
-                    sizes.append(np.full(len(first), n, np.int32))
-                    places.append(np.arange(len(first), dtype=np.int32))
-                    size += len(first)
-                if values and (size >= HELD_GRAMS or i + 1 == b.num_rows):
-                    columns = [pa.array(np.concatenate(c)) for c in (values, prints, sizes, places)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["value", "fp", "n", "at"])
-                    values, prints, sizes, places, size = [], [], [], [], 0
-
-    return firsts.mapInArrow(run, "value long, fp long, n int, at int")
-
-
-def _possible(n, at, m, to, similarity: float):
-    """Can sets of n and m shingles that share their first at places `at` and `to` have the similarity?"""
-    return F.least(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - 1e-6
-
-
-def _verified(df: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets that have the similarity. Shingles are made for texts in a pair only."""
-    pairs = settled(pairs, "pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    lows = settled(nodes.join(met, "fp").select("fp", "low"), "lows")
-    keys = lows.where("low is not null").select(F.col("low").alias(key)).distinct()
-    rows = df.join(_held(keys), key, "left_semi").select(text)
-    if not lows.where("low is null").isEmpty():
-        rows = rows.union(df.where(F.col(key).isNull()).select(text))
-    sets = settled(_sets(rows, None, text, words, grams=True).dropDuplicates(["fp"]), "grams")
-    two = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("gb")), "b")
-    small, large = F.least(F.size("ga"), F.size("gb")), F.greatest(F.size("ga"), F.size("gb"))
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return two.where(shared >= similarity * (small + large - shared)).select("a", "b")
-
-
-def drop_near_duplicates(df: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """One document of each group of similar() stays, that of the smallest key; rows with no key, and of equal key, stay together."""
-    groups = similar(df, key=key, **options)
-    gone = groups.where(F.col(key) > F.col("component_id")).select(key).distinct()
-    return df.join(gone, key, "left_anti")
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)

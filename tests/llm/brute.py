@@ -73,31 +73,6 @@ def simhash(rows, words=3, within=2):
     return {d: (f"{prints[d]:016x}", find(d)) for d in prints}
 
 
-def similar(rows, words=5, similarity=0.8, print_words=2, within=11):
-    """Components of texts, one a fingerprint: equal fingerprints, or near ones whose sets of shingles are similar."""
-    prints = {d: int(f, 16) for d, (f, _) in simhash(rows, print_words, -1).items()}
-    sets, low = {}, {}
-    for d, t in sorted(rows):
-        w = WORD.findall((t or "").translate(LOWER))
-        low.setdefault(prints[d], d)
-        sets.setdefault(prints[d], {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} - {()})
-    root = {f: f for f in sets}
-
-    def find(f):
-        while root[f] != f:
-            f = root[f]
-        return f
-
-    fps = list(sets)
-    for i, a in enumerate(fps):
-        for b in fps[:i]:
-            both = len(sets[a] & sets[b])
-            if (a ^ b).bit_count() <= within and both and both >= similarity * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)), key=low.get)
-                root[y] = x
-    return {d: low[find(f)] for d, f in prints.items()}
-
-
 def jaccard(rows, words=5, similarity=0.8):
     """Components of rows whose sets of shingles are equal or have the similarity; every pair is compared."""
     sets = {}
