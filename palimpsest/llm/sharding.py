@@ -1,12 +1,13 @@
 """Operator 3: sharding through fixed virtual slots.
 
-Records hash into a fixed number of virtual slots by their key. Bytes are summed for each slot, and a slot map, a small
+Records hash into a fixed number of virtual slots by their key and text. Bytes are summed for each slot, and a slot map, a small
 versioned table (version, slot, shard, bytes), says which shard each slot lives in. Rebalancing edits the map and
-writes a new version; records never hash anew.
+writes a new version; records never hash anew. As the text is part of what is hashed, a key that very many rows share is
+spread over the slots. Places are dealt out over parts of slots, a fixed number as well, so no task sorts a whole slot.
 
-Defined cases: a null key hashes like the empty string; a null text has no bytes and counts as `overhead` bytes;
-repeated rows each take a place of their own; an empty table gives an empty result and an all-zero map; columns of the
-input named like a result column are replaced.
+Defined cases: a null key and a null text hash like the empty string; a null text has no bytes and counts as `overhead`
+bytes; very long texts are moved once and never split; rows equal in key and text share a slot, and each takes a place of
+its own; an empty table gives an empty result and an all-zero map; extra columns stay, those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import scratch
 
 SLOTS = 4096
+#: Parts of a slot that are numbered apart.
+PARTS = 16
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a key: the first 32 bits of its MD5, modulo the number of slots."""
-    text = F.coalesce(key.cast("string"), F.lit(""))
-    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % slots).cast("int")
+def slot_and_part(key: Column, text: Column, slots: int = SLOTS) -> tuple[Column, Column]:
+    """The virtual slot of a record, and its part of the slot: two stretches of the MD5 of its key and its text's XXH64."""
+    whole = F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string")))
+    number = lambda first: F.conv(F.substring(whole, first, 8), 16, 10).cast("long")
+    return (number(1) % slots).cast("int"), (number(9) % PARTS).cast("int")
 
 
 def slot_bytes(df: DataFrame, slot: Column, size: Column, slots: int = SLOTS) -> DataFrame:
@@ -75,24 +79,26 @@ def load_map(spark: SparkSession, root: str, version: int) -> DataFrame:
 def shard(df: DataFrame, key: str, text: str, *, shards: int, slots: int = SLOTS, overhead: int = 8, root: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """df with `size` (bytes), `vslot`, `shard` and `slot`, the place in the shard, gapless from 0.
 
-    carry: the columns to keep (default: all). Places are dealt out slot by slot: a prefix sum over the slots of a shard,
-    which is a fixed number, and a row number within one virtual slot. No task ever holds a whole shard.
+    carry: the columns to keep (default: all). Places are dealt out by prefix sums over the parts of the slots of a shard,
+    which are a fixed number, and a row number within one part. No task ever holds a whole shard or slot.
     """
     spark = df.sparkSession
     root = root or scratch(spark, "slot-map")
     size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + overhead).cast("long")
-    sized = df.withColumns({"size": size, "vslot": slot_of(F.col(key), slots), "__t": F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0))})
+    slot, part = slot_and_part(F.col(key), F.col(text), slots)
+    sized = df.withColumns({"size": size, "vslot": slot, "__part": part, "__t": F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0))})
     held = slot_bytes(sized, F.col("vslot"), F.col("size"), slots)
     save_map(balanced_map(held, shards), root)
     placed = load_map(spark, root, 1)
     keep = [c for c in (carry or df.columns) if c not in ("size", "vslot", "shard", "slot")]
-    rows = sized.select(*dict.fromkeys([*keep, key]), "size", "vslot", "__t")
-    first = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("vslot").agg(F.count(F.lit(1)).alias("__n"))
-    starts = placed.join(counts, "vslot", "left").select("vslot", "shard", F.coalesce(F.sum(F.coalesce("__n", F.lit(0))).over(first), F.lit(0)).alias("__first"))
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col(key).asc_nulls_first(), "__t", "size"))
-    # The map has `slots` rows, a constant: it is small enough to broadcast at any input size.
-    return rows.withColumn("__place", place).join(F.broadcast(starts), "vslot").select(*keep, "size", "vslot", "shard", (F.col("__first") + F.col("__place") - 1).cast("long").alias("slot"))
+    rows = sized.select(*dict.fromkeys([*keep, key]), "size", "vslot", "__part", "__t")
+    first = Window.partitionBy("shard").orderBy("vslot", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("vslot", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = placed.join(counts, "vslot").select("vslot", "__part", "shard", F.coalesce(F.sum("__n").over(first), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("vslot", "__part").orderBy(F.col(key).asc_nulls_first(), "__t", "size"))
+    # The map has at most slots * PARTS rows, a constant: it is small enough to broadcast at any input size.
+    numbered = rows.withColumn("__place", place).join(F.broadcast(starts), ["vslot", "__part"])
+    return numbered.select(*keep, "size", "vslot", "shard", (F.col("__first") + F.col("__place") - 1).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

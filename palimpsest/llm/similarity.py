@@ -206,8 +206,9 @@ def _left(similarity: float):
 def candidates(firsts: DataFrame, total: int, words: int, similarity: float) -> DataFrame:
     """(fp, n, u, grams): the sets that may be similar to another; firsts has one column of texts, of `total` shingles."""
     buckets = max(shuffle_width(firsts.sparkSession), -(-total // BUCKET))
-    sent = firsts.mapInArrow(_sent(words, buckets), MESSAGE_SQL)
-    back = sent.groupBy("bucket").applyInArrow(_tallied, MESSAGE_SQL)
+    # As many partitions as buckets, so what a task reads doesn't grow with the table.
+    sent = firsts.mapInArrow(_sent(words, buckets), MESSAGE_SQL).repartition(buckets, "bucket")
+    back = sent.groupBy("bucket").applyInArrow(_tallied, MESSAGE_SQL).repartition(buckets, "chunk")
     left = back.groupBy("chunk").applyInArrow(_left(similarity), "fp long, n int, u int, grams array<long>")
     return left.dropDuplicates(["fp"])
 

@@ -115,6 +115,25 @@ def test_sharding(spark, docs, rows, tmp_path):
     assert all(new[s] in (old[s], 4) for s in old) and 4 in new.values()
 
 
+def none_last(rows):
+    return sorted(rows, key=lambda r: tuple((x is not None, x) for x in r))
+
+
+@pytest.mark.parametrize("slots", [8, 4096])
+def test_sharding_by_plain_rules(docs, odd, rows, slots):
+    for table, own in ((docs, pairs(rows)), (odd, [(r["doc_id"], r["text"]) for r in odd.collect()])):
+        got = [(r["doc_id"], r["text"], r["size"], r["shard"], r["slot"]) for r in sharding.shard(table.drop("size"), "doc_id", "text", shards=5, slots=slots).collect()]
+        assert none_last(got) == none_last(brute.sharding(own, 5, slots))
+
+
+def test_one_key_of_a_third_of_all_rows_is_spread(spark):
+    hot = [(1 if i % 3 == 0 else i, f"text {i} " + "x" * (i % 50)) for i in range(3000)]
+    loads = Counter()
+    for r in sharding.shard(spark.createDataFrame(hot, "doc_id long, text string"), "doc_id", "text", shards=8).collect():
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) < 1.02 * min(loads.values())
+
+
 def test_balanced_map_is_greedy(spark):
     sizes = spark.createDataFrame([(i, b, 1) for i, b in enumerate([9, 7, 6, 5, 4, 3, 2, 0])], "vslot int, bytes long, rows long")
     loads = Counter()
