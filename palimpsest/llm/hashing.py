@@ -1,18 +1,20 @@
 """Hashes of words and of stretches of words, for many texts at once.
 
-A polynomial in an odd base, modulo 2**64, over the bytes of a word or the hashes of words: prefix sums give the value
-of any stretch by one subtraction and one product with the base's inverse power. mix() spreads the bits.
+A word has its XXH64. A stretch has a polynomial in an odd base, modulo 2**64, over the hashes of its words: prefix sums
+give its value by one subtraction and one product with the base's inverse power. mix() spreads the bits.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 _BASES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
 _TABLES: dict[int, np.ndarray] = {}
+#: Words whose hash a worker keeps.
+HELD = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,17 +47,31 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, other: bool
     return (sums[end] - sums[start]) * powers(len(sums), inverse=True, other=other)[start]
 
 
+class Hashes(dict):
+    """A word to its XXH64, kept for the words met; one that is full is emptied."""
+
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= HELD:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
+        return value
+
+
+#: One table for each of two independent hashes, kept by a worker between its tasks.
+_WORDS = (Hashes(0), Hashes(0x9E3779B97F4A7C15))
+
+
 class Words:
-    """The words of some texts (bytes): hash and text of each word, first word and count of each text."""
+    """The words of some texts (bytes): a hash of each word, first word and count of each text."""
 
     def __init__(self, texts: list[bytes], other: bool = False):
-        raw = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
-        word = ~_SPACE[raw]
-        edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        sums = prefixes(raw.astype(np.uint64) + np.uint64(1), other)
-        self.hash = mix(span_hash(sums, start, end, other) + (end - start).astype(np.uint64))
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.doc = np.searchsorted(ends, start, side="right")
-        self.count = np.bincount(self.doc, minlength=len(texts))
+        split = [t.split() for t in texts]
+        self.count = np.fromiter(map(len, split), np.int64, len(split))
+        self.hash = np.fromiter(map(_WORDS[other].__getitem__, itertools.chain.from_iterable(split)), np.uint64, int(self.count.sum()))
+        self.doc = np.repeat(np.arange(len(split)), self.count)
         self.first = np.cumsum(self.count) - self.count

@@ -25,7 +25,6 @@ stay in drop_near_duplicates().
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -36,15 +35,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import pack, settled, shuffle_width, unpack
 from palimpsest.llm.components import components
-from palimpsest.llm.hashing import mix
+from palimpsest.llm.hashing import Words, mix
 from palimpsest.llm.simhash import SEED, fingerprint, links, named, signed
 
 #: Bytes of text that are worked on at once.
 SLICE = 1 << 20
 #: Shingles of a chunk of the table, and of a bucket of shingles.
 CHUNK = BUCKET = 1 << 21
-#: Words whose hash a worker keeps; a table that is full is emptied.
-TABLE = 400_000
 #: Rows of one to three longs that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
 MESSAGE = {"bucket": pa.int64(), "chunk": pa.int64(), "payload": pa.binary()}
@@ -52,36 +49,24 @@ MESSAGE_SQL = "bucket long, chunk long, payload binary"
 LISTED = -1
 
 
-class Names(dict):
-    """A word to its hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= TABLE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return value
-
-
-def shingle_sets(texts: list[str | None], words: int, names: Names) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """Of each text the hashes of its distinct shingles, in order."""
-    own = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    flat = np.fromiter(map(names.__getitem__, itertools.chain.from_iterable(own)), np.uint64)
+    words_of = Words([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
+    flat = words_of.hash
     n = max(0, len(flat) - words + 1)
     rolled = np.full(n, words, np.uint64)
     for k in range(words):
         rolled = mix(rolled * np.uint64(0xD6E8FEB86659FD93) + flat[k : n + k])
     out, at = [], 0
-    for w in own:
-        if len(w) >= words:
-            out.append(np.unique(rolled[at : at + len(w) - words + 1]))
+    for count in words_of.count.tolist():
+        if count >= words:
+            out.append(np.unique(rolled[at : at + count - words + 1]))
         else:
-            value = np.full(min(1, len(w)), len(w), np.uint64)
-            for k in range(len(w)):
+            value = np.full(min(1, count), count, np.uint64)
+            for k in range(count):
                 value = mix(value * np.uint64(0xD6E8FEB86659FD93) + flat[at + k])
             out.append(value)
-        at += len(w)
+        at += count
     return out
 
 
@@ -114,9 +99,8 @@ def _sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """The key, fp and n (how many shingles) of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
         for b, texts in _slices(batches, 1):
-            sets = shingle_sets(texts, words, names)
+            sets = shingle_sets(texts, words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(set_print, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64())], names=[key, "fp", "n"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp long, n long")
@@ -129,7 +113,7 @@ def _sent(words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, size, names = TaskContext.get().partitionId() << 32, {}, 0, Names()
+        number, held, size = TaskContext.get().partitionId() << 32, {}, 0
 
         def out() -> pa.RecordBatch:
             sizes = np.array(list(map(len, held.values())), np.int64)
@@ -143,7 +127,7 @@ def _sent(words: int, buckets: int):
             return _rows(rows, MESSAGE)
 
         for _, texts in _slices(batches, 0):
-            for own in shingle_sets(texts, words, names):
+            for own in shingle_sets(texts, words):
                 if len(own) and (fp := set_print(own)) not in held:
                     held[fp] = own
                     size += len(own)

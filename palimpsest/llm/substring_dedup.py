@@ -20,8 +20,8 @@ stretch lies inside a window, the same symbol stands at the same place in every
 No pairs are ever formed; all steps are aggregations and joins on hashes and on doc_id.
 
 Defined cases: a null or empty text has no words and stays as it is; rows with no doc_id stay whole and take nothing
-from others; rows of equal doc_id count as one document for comparison and lose the same words only if their texts are
-equal; an empty table gives an empty result; extra columns stay, those named like a result column are replaced.
+from others; rows of equal doc_id count as one document for comparison, and each loses only what is in its own text; a very
+long text is worked on alone; an empty table gives an empty result; extra columns stay, those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import settled
@@ -166,64 +166,64 @@ def _anchor_rows(width: int, n_levels: int):
             covered = mix(span_hash(sums, starts[head], starts[head] + count - 1 + width) ^ shape)
             own = words.doc[starts_word[head]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(covered.view(np.int64)), b.column(0).take(pa.array(own)), pa.array((starts_word[head] - words.first[own]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["k", "h", "d", "at", "n"],
+                [pa.array(key.view(np.int64)), pa.array(covered.view(np.int64)), b.column(0).take(pa.array(own)), b.column(2).take(pa.array(own)), pa.array((starts_word[head] - words.first[own]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                names=["k", "h", "d", "x", "at", "n"],
             )
 
     return run
 
 
 def _window_rows(width: int):
-    """d, text, list of (at, n) -> both hashes of every window that starts there."""
+    """d, x, text, list of (at, n) -> both hashes of every window that starts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _chunks(batches, 1):
+        for b, texts in _chunks(batches, 2):
             words, other = Words(texts), Words(texts, other=True)
             one, two = prefixes(words.hash), prefixes(other.hash, other=True)
-            lists = b.column(2)
+            lists = b.column(3)
             rows = lists.flatten()
             if not len(rows):
                 continue
             doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
             first, count = np.asarray(rows.field("at")).astype(np.int64), np.asarray(rows.field("n")).astype(np.int64)
-            inside = first + count - 1 + width <= words.count[doc]  # rows of equal doc_id may be of other texts
-            doc, first, count = doc[inside], first[inside], count[inside]
-            if not len(doc):
-                continue
             at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             doc = np.repeat(doc, count)
             start = words.first[doc] + at
             h, g = mix(span_hash(one, start, start + width)), mix(span_hash(two, start, start + width, other=True))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), b.column(0).take(pa.array(doc)), pa.array(at.astype(np.int32))], names=["h", "g", "d", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(at.astype(np.int32))], names=["h", "g", "d", "x", "at"])
 
     return run
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
-    """(key, starts): for each document that has any, the runs (at, n) of window starts to be removed."""
-    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
-    found = settled(docs.mapInArrow(_anchor_rows(width, levels), "k long, h long, d long, at int, n int"), "anchors")
+    """(key, x, starts): for each document that has any, the runs (at, n) of window starts to be removed; x is the XXH64 of its text."""
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"), text_hash(text).alias("x"))
+    found = settled(docs.mapInArrow(_anchor_rows(width, levels), "k long, h long, d long, x long, at int, n int"), "anchors")
     # Each side of a join is a table, so a stretch that very many documents share is split over tasks when joined.
     shared = settled(found.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("k"), "keys")
     met = settled(found.join(shared, "k"), "shared")
     same = settled(met.groupBy("k", "h").agg(F.min("d").alias("rep")), "same")
     several = settled(same.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("k"), "several")
     marked = met.join(same, ["k", "h"])
-    copies = marked.where("d > rep").select("d", "at", "n")
-    first = marked.where("d = rep").join(several, "k").select("d", F.struct("at", "n").alias("run"))
-    asked = first.groupBy("d").agg(F.collect_list("run").alias("runs"))
-    windows = docs.join(asked.hint("shuffle_hash"), "d").mapInArrow(_window_rows(width), "h long, g long, d long, at int")
+    copies = marked.where("d > rep").select("d", "x", "at", "n")
+    first = marked.where("d = rep").join(several, "k").select("d", "x", F.struct("at", "n").alias("run"))
+    asked = first.groupBy("d", "x").agg(F.collect_set("run").alias("runs"))
+    windows = docs.join(asked.hint("shuffle_hash"), ["d", "x"]).select("d", "x", "t", "runs").mapInArrow(_window_rows(width), "h long, g long, d long, x long, at int")
     windows = settled(windows, "windows")
     lowest = settled(windows.groupBy("h", "g").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi"), "lowest")
-    later = windows.join(lowest, ["h", "g"]).where("d > lo").select("d", "at", F.lit(1).alias("n"))
-    return copies.union(later).groupBy("d").agg(F.collect_set(F.struct("at", "n")).alias("starts")).withColumnRenamed("d", key)
+    later = windows.join(lowest, ["h", "g"]).where("d > lo").select("d", "x", "at", F.lit(1).alias("n"))
+    return copies.union(later).groupBy("d", "x").agg(F.collect_set(F.struct("at", "n")).alias("starts")).withColumnRenamed("d", key)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
     """df with the kept words, joined by one space, in its text column (unchanged where nothing goes), n_words and n_removed."""
-    base = df.drop("n_words", "n_removed", "kept_sha256", "__starts")
-    starts = repeats(base, key, text, width=width, levels=levels).withColumnRenamed("starts", "__starts")
-    joined = base.join(starts.hint("shuffle_hash"), key, "left")
+    base = df.drop("n_words", "n_removed", "kept_sha256", "__starts", "__x")
+    starts = repeats(base, key, text, width=width, levels=levels).withColumnsRenamed({"starts": "__starts", "x": "__x"})
+    joined = base.withColumn("__x", text_hash(text)).join(starts.hint("shuffle_hash"), [key, "__x"], "left").select(*base.columns, "__starts")
     at, name = joined.columns.index(text), text
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("__starts").schema) + ", n_words long, n_removed long, kept_sha256 string"
 

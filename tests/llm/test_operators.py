@@ -224,6 +224,29 @@ def test_substring_dedup(docs, rows, width):
     assert got == brute.substring(pairs(rows), width)
 
 
+def thue_morse(n, swap=False):
+    return "".join("ba" if bin(i).count("1") % 2 ^ swap else "ab" for i in range(n // 2))
+
+
+def test_words_that_collide_in_polynomials_differ(spark):
+    """Thue-Morse words have equal polynomials in every odd base modulo a power of two."""
+    one, two = thue_morse(4096), thue_morse(4096, True)
+    around = [f"w{i}" for i in range(80)]
+    texts = [" ".join([*around[:40], x, *around[40:]]) for x in (one, two)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert by_id(substring_dedup.remove_repeats(docs), "n_words", "n_removed", "kept_sha256") == brute.substring(list(enumerate(texts)), 50)
+    scored = spark.createDataFrame([(i, x) for i, x in enumerate([one] * 9 + [two] * 3)], "doc_id long, text string")
+    want, _ = brute.katz([(i, x) for i, x in enumerate([one] * 9 + [two] * 3)])
+    assert {d: v[:4] for d, v in by_id(katz.score(scored), "held_out", "n_tokens", "n_known", "train_tokens").items()} == {d: w[:4] for d, w in want.items()}
+
+
+def test_rows_of_one_id_lose_only_what_is_in_their_own_text(spark):
+    passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"o{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, passage), (5, passage + " and more"), (5, other), (5, None)], "doc_id long, text string")
+    out = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect())
+    assert out == [(1, 60, 0), (5, 0, 0), (5, 62, 60), (5, 100, 0)]
+
+
 # 7: Katz
 
 
