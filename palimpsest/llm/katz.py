@@ -2,8 +2,8 @@
 
 Counts are Good-Turing discounted; what discounting leaves in a context goes to the words not kept there, in proportion
 to their lower-order probability, with a weight that makes each context sum to exactly 1. A token's probability is
-looked up recursively: bigram, else weight times unigram, else the unigram mass of unknown words. Bigrams met once carry
-no count of their own (a cutoff of one, as Katz proposes); their mass is backed off.
+looked up recursively: bigram, else weight times unigram, else the unigram mass of unknown words. All counts are kept,
+those of one included.
 
 Tables are partitioned by hash and everything moves as packed arrays. The corpus is first coded into chunks of about
 `CHUNK` tokens (a sorted word list, and each token's place in it), a settled table. Then, by groups and cogroups:
@@ -12,11 +12,12 @@ Tables are partitioned by hash and everything moves as packed arrays. The corpus
             kept bigram one of its chunks as the owner
   sums      chunk -> word bucket:    for each context, sums over the kept bigrams it owns;  back: the context's sums
 and each chunk scores its documents. A frequent word or bigram is one entry of a chunk at most, so none makes a group
-large; no task holds more than a chunk or a bucket, and buckets follow the number of shuffle partitions.
+large; no task holds more than a chunk or a bucket. There are as many buckets and partitions as the number of chunks asks
+for; a message holds one entry at least, so however many chunks and buckets there are, messages never outnumber entries.
 
-Words stand as 64-bit hashes. Defined cases: a null or empty text has only its end token; a null doc_id counts as
-training; rows of equal doc_id are scored each; with no training text all mass is on unknown words; an empty table gives an
-empty result; extra columns are ignored.
+Words stand as 64-bit hashes. Defined cases: a null or empty text has only its end token; a very long text is a chunk of its
+own; a null doc_id counts as training; rows of equal doc_id are scored each; with no training text all mass is on
+unknown words; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from palimpsest.llm.common import pack, settled, shuffle_width, unpack
 from palimpsest.llm.hashing import Words, mix
 
 CHUNK = 1_000_000
+#: Chunks whose words or bigrams fill a bucket at most.
+CHUNKS = 4
 SLICE = 1 << 20
 END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567696E)
 #: Counts above this are not discounted.
@@ -59,22 +62,18 @@ class Model:
         return np.where(counts > 0, kept / max(self.scale, 1.0), self.unknown)
 
 
-def discounts(of: np.ndarray, least: int) -> np.ndarray:
+def discounts(of: np.ndarray) -> np.ndarray:
     """Good-Turing discount for counts 0 to DISCOUNTED, and 1 beyond; of[r]: how many kinds have count r.
 
-    least: the smallest count kept; those below have discount 0. Where the estimate isn't between 0 and 1 (few data),
-    an absolute discount takes its place.
+    Where the estimate isn't between 0 and 1 (few data), an absolute discount takes its place.
     """
     out = np.ones(DISCOUNTED + 2)
+    out[0] = 0.0
     fixed = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
     top = (DISCOUNTED + 1) * of[DISCOUNTED + 1] / of[1] if of[1] else 1.0
-    for r in range(DISCOUNTED + 1):
-        if r < least:
-            out[r] = 0.0
-            continue
+    for r in range(1, DISCOUNTED + 1):
         ratio = (r + 1) * of[r + 1] / (r * of[r]) if of[r] else 0.0
-        if least == 1:
-            ratio = (ratio - top) / (1 - top) if top < 1 else 0.0
+        ratio = (ratio - top) / (1 - top) if top < 1 else 0.0
         out[r] = ratio if 0 < ratio < 1 else (r - fixed) / r
     return out
 
@@ -239,8 +238,7 @@ def _count_bigrams(table: pa.Table) -> pa.Table:
     chunks, sizes, _, total, inverse, first = _merged(table)
     owner = np.zeros(len(inverse), np.uint8)
     owner[first] = 1
-    kept = np.where(total > 1, total, 0)
-    return _back(table.column("bucket")[0].as_py(), chunks, sizes, [_small(kept[inverse]), owner * (kept[inverse] > 0).astype(np.uint8)], _figures(total))
+    return _back(table.column("bucket")[0].as_py(), chunks, sizes, [_small(total[inverse]), owner * (total[inverse] > 0).astype(np.uint8)], _figures(total))
 
 
 def _whole(answers: DataFrame) -> np.ndarray:
@@ -251,7 +249,7 @@ def _whole(answers: DataFrame) -> np.ndarray:
 def fitted(words: DataFrame, bigrams: DataFrame) -> Model:
     one, two = _whole(words), _whole(bigrams)
     tokens, kinds = int(one[-2]), int(one[-1])
-    unigram, bigram = discounts(one, 1), discounts(two, 2)
+    unigram, bigram = discounts(one), discounts(two)
     r = np.arange(DISCOUNTED + 1)
     low = one[: DISCOUNTED + 1] * r
     kept = float((low * unigram[:-1]).sum() + (tokens - low.sum()))
@@ -358,19 +356,21 @@ def _scores(model: Model, begin: tuple[float, float, int]) -> Callable:
 
 def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of df; trained on the other folds."""
-    n = shuffle_width(df.sparkSession)
     chunks = coded(df, key, text, folds, fold)
-    words_sent = chunks.mapInArrow(_words_out(n), MESSAGE_SQL)
+    number = chunks.count()
+    n, m = max(shuffle_width(df.sparkSession), -(-number // CHUNKS)), max(shuffle_width(df.sparkSession), number)
+    words_sent = chunks.mapInArrow(_words_out(n), MESSAGE_SQL).repartition(n, "bucket")
     words = settled(words_sent.groupBy("bucket").applyInArrow(_count_words, MESSAGE_SQL), "words")
-    bigrams = settled(chunks.mapInArrow(_bigrams_out(n), MESSAGE_SQL).groupBy("bucket").applyInArrow(_count_bigrams, MESSAGE_SQL), "bigrams")
+    bigrams = settled(chunks.mapInArrow(_bigrams_out(n), MESSAGE_SQL).repartition(n, "bucket").groupBy("bucket").applyInArrow(_count_bigrams, MESSAGE_SQL), "bigrams")
     model = fitted(words, bigrams)
     answers = words.select(F.lit(0).alias("kind"), "*").union(bigrams.select(F.lit(1).alias("kind"), "*")).where(F.col("chunk") != WHOLE)
-    sums = settled(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sums_out(n, model), MESSAGE_SQL), "sums")
-    back = sums.groupBy("bucket").cogroup(words_sent.groupBy("bucket")).applyInArrow(_sums_back, MESSAGE_SQL)
+    by_chunk = chunks.repartition(m, "chunk").groupBy("chunk")
+    sums = settled(by_chunk.cogroup(answers.repartition(m, "chunk").groupBy("chunk")).applyInArrow(_sums_out(n, model), MESSAGE_SQL), "sums")
+    back = sums.repartition(n, "bucket").groupBy("bucket").cogroup(words_sent.groupBy("bucket")).applyInArrow(_sums_back, MESSAGE_SQL)
     begin = _begin(sums, df, key, folds, fold, n)
     both = answers.union(back.select(F.lit(2).alias("kind"), "*"))
     types = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_scores(model, begin), types).withColumnRenamed("key", key)
+    return by_chunk.cogroup(both.repartition(m, "chunk").groupBy("chunk")).applyInArrow(_scores(model, begin), types).withColumnRenamed("key", key)
 
 
 def _begin(sums: DataFrame, df: DataFrame, key: str, folds: int, fold: int, n: int) -> tuple[float, float, int]:

@@ -142,22 +142,21 @@ def katz(rows):
             docs += 1
     n, v = sum(one.values()), len(one)
 
-    def discounts(of, least):
-        out = dict.fromkeys(range(least), 0.0)
+    def discounts(of):
+        out = {0: 0.0}
         fixed, top = (of[1] / (of[1] + 2 * of[2]), 6 * of[6] / of[1]) if of[1] else (0.5, 1.0)
-        for r in range(least, 6):
+        for r in range(1, 6):
             x = (r + 1) * of[r + 1] / (r * of[r]) if of[r] else 0.0
-            if least == 1:
-                x = (x - top) / (1 - top) if top < 1 else 0.0
+            x = (x - top) / (1 - top) if top < 1 else 0.0
             out[r] = x if 0 < x < 1 else (r - fixed) / r
         return out
 
-    d1, d2 = discounts(Counter(one.values()), 1), discounts(Counter(two.values()), 2)
+    d1, d2 = discounts(Counter(one.values())), discounts(Counter(two.values()))
     mass = sum(d1.get(c, 1.0) * c for c in one.values())
     scale = n if mass < n else n + 1
     p1 = {w: d1.get(c, 1.0) * c / scale for w, c in one.items()}
     unknown = 1 - mass / scale
-    kept = {k: d2.get(c, 1.0) * c for k, c in two.items() if c > 1}
+    kept = {k: d2.get(c, 1.0) * c for k, c in two.items()}
     total, lower = Counter(), Counter()
     for (h, w), x in kept.items():
         total[h] += x
