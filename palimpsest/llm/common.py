@@ -32,6 +32,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
+    """df settled in as many buckets of the column as it asks for, so that grouping by it moves no row; and how many they are."""
+    spark = df.sparkSession
+    number = max(shuffle_width(spark), df.rdd.getNumPartitions())
+    table, path = f"{name}_{uuid.uuid4().hex}", scratch(spark, name)
+    df.write.bucketBy(number, column).option("path", path).saveAsTable(table)
+    return spark.table(table), number
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,8 +10,9 @@ Tables are partitioned by hash and everything moves as packed arrays. The corpus
   words     chunk -> word bucket:    its words and their training counts;  back: counts over the corpus
   bigrams   chunk -> bigram bucket:  its bigrams and their training counts;  back: counts of those kept, and for each
             kept bigram one of its chunks as the owner
-  sums      chunk -> word bucket:    for each context, sums over the kept bigrams it owns;  back: the context's sums
-and each chunk scores its documents. A frequent word or bigram is one entry of a chunk at most, so none makes a group
+  sums      chunk -> word bucket:    for each context, how many of the bigrams it owns, and of their words, have each count;
+                                     back: the context's weight
+and each chunk scores its documents. Sums are of whole numbers, so weights don't depend on the order of the messages. A frequent word or bigram is one entry of a chunk at most, so none makes a group
 large; no task holds more than a chunk or a bucket. There are as many buckets and partitions as the number of chunks asks
 for; a message holds one entry at least, so however many chunks and buckets there are, messages never outnumber entries.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import pack, settled, shuffle_width, unpack
+from palimpsest.llm.common import bucketed, pack, settled, shuffle_width, unpack
 from palimpsest.llm.hashing import Words, mix
 
 CHUNK = 1_000_000
@@ -43,6 +44,8 @@ END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567696E)
 DISCOUNTED = 5
 #: Rows with this chunk number hold figures of the whole corpus.
 WHOLE = -1
+#: Rows with this bucket number hold the sums of the context that begins a document.
+BEGINS = -1
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,24 @@ class Model:
         kept = self.unigram[np.minimum(counts, DISCOUNTED + 1)] * counts
         return np.where(counts > 0, kept / max(self.scale, 1.0), self.unknown)
 
+    def weights(self, sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Back-off weights of contexts, and what their count is raised by, from their counts and spread() sums.
+
+        A context with nothing left by discounting gives unseen words the share of one more occurrence.
+        """
+        r = np.arange(1, DISCOUNTED + 1)
+        mass = (self.bigram[1:-1] * r) @ sums[:DISCOUNTED] + sums[DISCOUNTED]
+        lower = ((self.unigram[1:-1] * r) @ sums[DISCOUNTED + 1 : -1] + sums[-1]) / max(self.scale, 1.0)
+        more = (counts > 0) & (mass >= counts * (1 - 1e-12))
+        return np.where(counts > 0, (1 - mass / np.maximum(counts + more, 1)) / (1 - lower), 1.0), more
+
+
+def spread(place: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """By place: how many counts there are of 1, 2, ... DISCOUNTED, and the sum of those above."""
+    own = [np.bincount(place[counts == r], minlength=size) for r in range(1, DISCOUNTED + 1)]
+    over = counts > DISCOUNTED
+    return np.stack([*own, np.bincount(place[over], counts[over], size).astype(np.int64)])
+
 
 def discounts(of: np.ndarray) -> np.ndarray:
     """Good-Turing discount for counts 0 to DISCOUNTED, and 1 beyond; of[r]: how many kinds have count r.
@@ -96,8 +117,8 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
 
 
-def coded(df: DataFrame, key: str, text: str, folds: int, fold: int) -> DataFrame:
-    """(chunk, payload): word list, places of all tokens, tokens of each document, its id, and flags (1: held out, 2: no id)."""
+def coded(df: DataFrame, key: str, text: str, folds: int, fold: int) -> tuple[DataFrame, int]:
+    """A table dealt out by chunk, and in how many parts: (chunk, payload): word list, places of all tokens, tokens of each document, its id, and flags (1: held out, 2: no id)."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,7 +147,7 @@ def coded(df: DataFrame, key: str, text: str, folds: int, fold: int) -> DataFram
         if held:
             yield out()
 
-    return settled(df.select(F.col(key).cast("long"), text).mapInArrow(code, "chunk long, payload binary"), "chunks")
+    return bucketed(df.select(F.col(key).cast("long"), text).mapInArrow(code, "chunk long, payload binary"), "chunk", "chunks")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
@@ -287,61 +308,56 @@ def _sums_out(n: int, model: Model) -> Callable:
         c, own = k.chunk, np.flatnonzero(k.owned)
         context, word = c.before[k.first[own]], c.places[k.first[own]]
         size = len(c.words) + 1
-        mass, lower = np.bincount(context, k.discounted[own], size), np.bincount(context, k.p1[word], size)
-        has = np.flatnonzero(np.bincount(context, minlength=size))
-        names = np.append(c.words, BEGIN)[has]
-        order = np.argsort(names)
-        names, has = names[order], has[order]
-        edges, rows = _buckets(names, n), []
+        sums = np.concatenate([spread(context, k.kept[own], size), spread(context, k.counts[word], size)])
+        has = sums.any(axis=0)
+        edges, rows, number = _buckets(c.words, n), [], left.column("chunk")[0].as_py()
         for b in range(n):
-            at = slice(edges[b], edges[b + 1])
-            if edges[b + 1] > edges[b]:
-                rows.append((b, pack(names[at], mass[has[at]], lower[has[at]])))
-        number = left.column("chunk")[0].as_py()
-        return pa.Table.from_batches([_rows({"bucket": [r[0] for r in rows], "chunk": [number] * len(rows), "payload": [r[1] for r in rows]}, MESSAGE)])
+            at = np.flatnonzero(has[edges[b] : edges[b + 1]])
+            if len(at):
+                rows.append((b, number, pack(at.astype(np.uint64), *map(_small, sums[:, edges[b] + at]))))
+        if has[-1]:
+            rows.append((BEGINS, number, pack(*sums[:, -1:])))
+        columns = dict(zip(MESSAGE, zip(*rows))) if rows else {k: [] for k in MESSAGE}
+        return pa.Table.from_batches([_rows(columns, MESSAGE)])
 
     return run
 
 
-def _sums_back(left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: sums of contexts; right: the words that chunks have in this bucket. Back: for each chunk (context, mass, lower)."""
-    rows: dict[str, list] = {"bucket": [], "chunk": [], "payload": []}
-    if left.num_rows and right.num_rows:
-        parts = [unpack(p.as_py()) for p in left.column("payload")]
-        names, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        mass, lower = (np.bincount(place, np.concatenate([p[i] for p in parts]), len(names)) for i in (1, 2))
-        for number, payload in zip(right.column("chunk").to_pylist(), right.column("payload")):
-            words = unpack(payload.as_py())[0]
-            at = np.searchsorted(names, words)
-            at[at == len(names)] = 0
-            has = at[names[at] == words]
-            if len(has):
-                rows["bucket"].append(left.column("bucket")[0].as_py())
+def _weights_back(model: Model) -> Callable:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """left: sums of contexts; right: the words that chunks have in this bucket. Back: for each chunk its words' weights."""
+        rows: dict[str, list] = {"bucket": [], "chunk": [], "payload": []}
+        if right.num_rows:
+            chunks, sizes, words, total, inverse, _ = _merged(right)
+            first = dict(zip(chunks, np.cumsum(sizes) - sizes))
+            sums = np.zeros((2 * DISCOUNTED + 2, len(words)), np.int64)
+            for number, payload in zip(left.column("chunk").to_pylist(), left.column("payload")):
+                at, *own = unpack(payload.as_py())
+                place = inverse[first[number] + at.astype(np.int64)]
+                sums[:, place] += np.stack([x.astype(np.int64) for x in own])
+            weight, more = model.weights(sums, total)
+            for number, size in zip(chunks, sizes):
+                at = inverse[first[number] : first[number] + size]
+                rows["bucket"].append(right.column("bucket")[0].as_py())
                 rows["chunk"].append(number)
-                rows["payload"].append(pack(names[has], mass[has], lower[has]))
-    return pa.Table.from_batches([_rows(rows, MESSAGE)])
+                rows["payload"].append(pack(weight[at], more[at].astype(np.uint8)))
+        return pa.Table.from_batches([_rows(rows, MESSAGE)])
+
+    return run
 
 
 SCORES = {"key": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def _scores(model: Model, begin: tuple[float, float, int]) -> Callable:
+def _scores(model: Model, begin: tuple[float, bool, int]) -> Callable:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([_rows({k: [] for k in SCORES}, SCORES)])
         k = Known(left, right, model)
         c = k.chunk
-        size = len(c.words) + 1
-        mass, lower = np.zeros(size), np.zeros(size)
-        for _, names, own_mass, own_lower in _assembled(right, 2):
-            at = np.searchsorted(c.words, names)
-            mass[at], lower[at] = own_mass, own_lower
-        mass[-1], lower[-1] = begin[0], begin[1]
-        context = np.append(k.counts, begin[2]).astype(np.float64)
-        # A context with nothing left by discounting gives unseen words the share of one more occurrence.
-        total = np.where(mass >= context * (1 - 1e-12), context + 1, context)
-        seen = context > 0
-        weight = np.where(seen, (1 - mass / np.maximum(total, 1)) / (1 - lower), 1.0)
+        answers = _assembled(right, 2)
+        weight = np.concatenate([*(a[1] for a in answers), [begin[0]]])
+        total = np.append(k.counts, begin[2]) + np.concatenate([*(a[2] for a in answers), [begin[1]]])
         kept = k.kept[k.inverse]
         unigram = k.p1[c.places]
         p = np.where(kept > 0, k.discounted[k.inverse] / np.maximum(total[c.before], 1), weight[c.before] * unigram)
@@ -356,36 +372,37 @@ def _scores(model: Model, begin: tuple[float, float, int]) -> Callable:
 
 def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of df; trained on the other folds."""
-    chunks = coded(df, key, text, folds, fold)
-    number = chunks.count()
-    n, m = max(shuffle_width(df.sparkSession), -(-number // CHUNKS)), max(shuffle_width(df.sparkSession), number)
+    chunks, m = coded(df, key, text, folds, fold)
+    n = max(shuffle_width(df.sparkSession), -(-chunks.count() // CHUNKS))
     words_sent = chunks.mapInArrow(_words_out(n), MESSAGE_SQL).repartition(n, "bucket")
     words = settled(words_sent.groupBy("bucket").applyInArrow(_count_words, MESSAGE_SQL), "words")
     bigrams = settled(chunks.mapInArrow(_bigrams_out(n), MESSAGE_SQL).repartition(n, "bucket").groupBy("bucket").applyInArrow(_count_bigrams, MESSAGE_SQL), "bigrams")
     model = fitted(words, bigrams)
     answers = words.select(F.lit(0).alias("kind"), "*").union(bigrams.select(F.lit(1).alias("kind"), "*")).where(F.col("chunk") != WHOLE)
-    by_chunk = chunks.repartition(m, "chunk").groupBy("chunk")
+    by_chunk = chunks.groupBy("chunk")
     sums = settled(by_chunk.cogroup(answers.repartition(m, "chunk").groupBy("chunk")).applyInArrow(_sums_out(n, model), MESSAGE_SQL), "sums")
-    back = sums.repartition(n, "bucket").groupBy("bucket").cogroup(words_sent.groupBy("bucket")).applyInArrow(_sums_back, MESSAGE_SQL)
-    begin = _begin(sums, df, key, folds, fold, n)
+    back = sums.where(F.col("bucket") != BEGINS).repartition(n, "bucket").groupBy("bucket").cogroup(words_sent.groupBy("bucket")).applyInArrow(_weights_back(model), MESSAGE_SQL)
+    begin = _begin(sums, model, df, key, folds, fold)
     both = answers.union(back.select(F.lit(2).alias("kind"), "*"))
     types = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by_chunk.cogroup(both.repartition(m, "chunk").groupBy("chunk")).applyInArrow(_scores(model, begin), types).withColumnRenamed("key", key)
 
 
-def _begin(sums: DataFrame, df: DataFrame, key: str, folds: int, fold: int, n: int) -> tuple[float, float, int]:
-    """Mass and lower-order mass of the context that begins a document, and its count, the training documents."""
-    bucket = int(BEGIN) * n >> 64
+def _begin(sums: DataFrame, model: Model, df: DataFrame, key: str, folds: int, fold: int) -> tuple[float, bool, int]:
+    """The context that begins a document: its weight, whether its count is raised, and its count, the training documents."""
+    names = [f"s{i}" for i in range(2 * DISCOUNTED + 2)]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [unpack(p.as_py()) for p in b.column(0)]
-            own = [(m[names == BEGIN].sum(), low[names == BEGIN].sum()) for names, m, low in found]
-            yield pa.RecordBatch.from_pydict({"mass": pa.array([x[0] for x in own], pa.float64()), "lower": pa.array([x[1] for x in own], pa.float64())})
+            own = np.array([np.concatenate(unpack(p.as_py())) for p in b.column(0)], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in own.T], names=names)
 
-    mass = sums.where(F.col("bucket") == bucket).select("payload").mapInArrow(take, "mass double, lower double").agg(F.sum("mass"), F.sum("lower")).first()
+    found = sums.where(F.col("bucket") == BEGINS).select("payload").mapInArrow(take, ", ".join(f"{x} long" for x in names))
+    own = np.array([x or 0 for x in found.agg(*(F.sum(x) for x in names)).first()], np.int64)
     fold_of = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
-    return mass[0] or 0.0, mass[1] or 0.0, df.where(fold_of != fold).count()
+    documents = df.where(fold_of != fold).count()
+    weight, more = model.weights(own[:, None], np.array([documents]))
+    return float(weight[0]), bool(more[0]), documents
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
