@@ -4,10 +4,11 @@ A document's pre-tokens are grouped into leaves; each leaf keeps its characters
 leaves keeps sums, the count of the whole document at the root. An edit re-encodes the leaves it touches and a little
 before them, then goes on until a pre-token begins where an old leaf did: the pre-token pattern only looks ahead, so
 from there on all is as it was. The leaves in between get the new pre-tokens, and their sums are renewed up to the root.
+Leaves that would hold over twice `LEAF` pre-tokens are split, so an edit stays local however a text has grown.
 
 Token counts are those of byte-level BPE with special tokens' strings as ordinary text.
 
-Defined cases: a null text counts as empty, with one empty leaf; edits are (start, end, replacement) in characters of the
+Defined cases: a null text counts as empty, with one empty leaf; a very long text has more leaves, nothing else; edits are (start, end, replacement) in characters of the
 old text, in any order; one that overlaps an earlier one is refused; empty or null lists of edits change nothing;
 repeated rows are counted each; an empty table gives an empty result; extra columns stay.
 """
@@ -81,6 +82,19 @@ class Tree:
             nodes = np.arange(low, high + 1)
             self.sums[:, nodes] = self.sums[:, 2 * nodes] + self.sums[:, 2 * nodes + 1]
 
+    def renew(self, changes: list[tuple[int, int, np.ndarray]]) -> None:
+        """Replaces leaves low to high by others, in ascending order; where their number changes, the tree is built anew."""
+        if all(values.shape[1] == high - low for low, high, values in changes):
+            for low, _, values in changes:
+                self.put(low, values)
+            return
+        old, parts, at = self.sums[:, self.size : self.size + self.leaves], [], 0
+        for low, high, values in changes:
+            parts += [old[:, at:low], values]
+            at = high
+        new = Tree.of(np.concatenate([*parts, old[:, at:]], axis=1))
+        self.sums, self.leaves = new.sums, new.leaves
+
     def dump(self) -> bytes:
         return self.sums[:, self.size : self.size + self.leaves].astype("<u4").tobytes()
 
@@ -98,13 +112,20 @@ class Counter:
         self.encoder: Encoder = encoder(path, True)
         self.pieces = self.encoder.pieces
         self.match = regex.compile(PATTERN).finditer
+        self.library = self.encoder.library.pre_tokenizer.pre_tokenize_str
+
+    def pieces_from(self, text: str, begin: int = 0) -> Iterator[tuple[str, int]]:
+        """Pre-tokens from a place where one begins, and where each ends. Characters on which Unicode versions differ are left to the library."""
+        if self.encoder.settled(text):
+            return ((m[0], m.end()) for m in self.match(text, begin))
+        return ((text[begin + a : begin + b], begin + b) for _, (a, b) in self.library(text[begin:]))
 
     def measured(self, pieces: list[str]) -> np.ndarray:
         get = self.pieces.__getitem__
         return np.array([list(map(len, pieces)), [len(get(p)) >> 2 for p in pieces]], np.int64).reshape(2, -1)
 
     def build(self, text: str) -> Tree:
-        values = self.measured(self.encoder.split(text))
+        values = self.measured(self.encoder.split(text) if self.encoder.settled(text) else [p for p, _ in self.pieces_from(text)])
         if not values.shape[1]:
             return Tree.of(np.zeros((2, 1), np.int64))
         return Tree.of(np.add.reduceat(values, np.arange(0, values.shape[1], LEAF), axis=1))
@@ -119,13 +140,13 @@ class Counter:
             parts += [text[at:s], new]
             at = e
         changed = "".join([*parts, text[at:]])
-        bounds, encoded, shift, i, last = tree.bounds(), 0, 0, 0, 0
+        bounds, encoded, shift, i, last, renewed = tree.bounds(), 0, 0, 0, 0, []
         while i < len(edits):
             low = max(last, int(np.searchsorted(bounds, max(0, edits[i][0] - AHEAD), "right")) - 1)
             low = min(low, tree.leaves - 1)
             begin = int(bounds[low]) + shift
             high, pieces, end = low + 1, [], begin
-            found = self.match(changed, begin)
+            found = self.pieces_from(changed, begin)
             while True:
                 # Edits up to the end of the stretch are part of it.
                 while i < len(edits) and edits[i][0] - AHEAD <= bounds[high]:
@@ -134,18 +155,20 @@ class Counter:
                     i += 1
                 goal = int(bounds[high]) + shift
                 while end < goal:
-                    m = next(found)
-                    pieces.append(m[0])
-                    end = m.end()
+                    piece, end = next(found)
+                    pieces.append(piece)
                 if end == goal:
                     break
                 high += 1
             encoded += end - begin
             values = self.measured(pieces) if pieces else np.zeros((2, 0), np.int64)
-            places = np.linspace(0, values.shape[1], high - low + 1).astype(int)
+            # As many leaves as before; where these would be over twice full, as many as there is need for.
+            leaves = high - low if values.shape[1] <= 2 * LEAF * (high - low) else -(-values.shape[1] // LEAF)
+            places = np.linspace(0, values.shape[1], leaves + 1).astype(int)
             sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(values, axis=1)], axis=1)
-            tree.put(low, np.diff(sums[:, places], axis=1))
+            renewed.append((low, high, np.diff(sums[:, places], axis=1)))
             last = high
+        tree.renew(renewed)
         return changed, encoded
 
 

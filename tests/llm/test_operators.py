@@ -195,6 +195,40 @@ def test_token_counts_after_edits(docs, rows):
     assert all(rebuilt[d][0] == after[d][1] for d in rebuilt)
 
 
+def test_leaves_split_so_that_edits_stay_local():
+    counter = token_counts.Counter(BPE)
+    tree = counter.build("")
+    text, _ = counter.edit("", tree, [(0, 0, "some words and 12 more, " * 4000)])
+    assert tree.leaves > 100 and (tree.tokens, tree.chars) == (counter.build(text).tokens, len(text))
+    new, encoded = counter.edit(text, tree, [(50_000, 50_001, "X")])
+    assert encoded < 2000 and tree.tokens == counter.build(new).tokens
+
+
+def test_counts_of_characters_that_versions_differ_on():
+    from tokenizers import Tokenizer
+
+    counter, plain = token_counts.Counter(BPE), Tokenizer.from_file(BPE)
+    for low in range(0x0250, 0x20000, 97):
+        text = f"a {chr(low) if not 0xD800 <= low < 0xE000 else 'x'}b1{chr(low ^ 1) if not 0xD800 <= low ^ 1 < 0xE000 else 'y'} c's \u30a0 \u200b d"
+        tree = counter.build(text)
+        assert tree.tokens == len(plain.encode(text, add_special_tokens=False).ids)
+        new, _ = counter.edit(text, tree, [(3, 5, "zz 9")])
+        assert tree.tokens == len(plain.encode(new, add_special_tokens=False).ids)
+
+
+def test_masks():
+    import random
+
+    rnd = random.Random(6)
+    parts = {"jo.ann@mail.example.org": "<EMAIL>", "https://a.b/c?d=e@f": "<URL>", "0123456789abcdefABCDEF0123456789": "<SECRET>", "1234567": "<NUMBER>", "123456": "123456", "word": "word", "@": "@", "x@y": "x@y", "http:/": "http:/", "deadbeef": "deadbeef"}
+    for _ in range(200):
+        own = [rnd.choice(list(parts)) for _ in range(rnd.randint(0, 12))]
+        text, want = " ".join(own), " ".join(parts[p] for p in own)
+        for start, end, new in reversed(token_counts.masks(text)):
+            text = text[:start] + new + text[end:]
+        assert text == want
+
+
 def test_overlapping_edits_are_refused():
     counter = token_counts.Counter(BPE)
     with pytest.raises(ValueError):
