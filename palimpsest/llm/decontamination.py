@@ -14,7 +14,7 @@ The benchmark is a stated set of queries. It is taken in blocks of at most `bloc
 bounded, and each block passes over the documents once.
 
 Defined cases: null or empty texts and items match nothing; rows of equal or no doc_id are judged row by row; repeated items
-are reported each; an empty table gives an empty result; extra columns stay.
+are reported each; very long texts are worked on alone; an empty table gives an empty result; extra columns stay.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import settled
 from palimpsest.llm.hashing import mix, prefixes, span_hash
 
 #: Words that stand for numbers, and units of measure.
@@ -220,11 +221,12 @@ def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Rec
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """(key, item, first_word, end_word, n_slots, n_changed, literal): every stretch of a document that leaks an item."""
-    out = None
     schema = f"`{key}` long, item_id long, first_word long, end_word long, n_slots long, n_changed long, literal boolean"
-    for items in [*_blocks(benchmark, item_key, item_text, rules)] or [[]]:
-        found = df.select(F.col(key).cast("long"), text).mapInArrow(_finder(items, rules, key), schema)
-        out = found if out is None else out.union(found)
+    find = lambda items: df.select(F.col(key).cast("long"), text).mapInArrow(_finder(items, rules, key), schema)
+    blocks = _blocks(benchmark, item_key, item_text, rules)
+    out = find(next(blocks, []))
+    for items in blocks:  # each is done before the next is fetched
+        out = settled(out.union(find(items)), "leaks")
     return out
 
 
@@ -244,8 +246,10 @@ def _finder(items: list[tuple[int, str]], rules: Rules, key: str) -> Callable:
 def decontaminate(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """df without the rows that leak an item. Nothing is shuffled."""
     at = df.columns.index(text)
-    for items in _blocks(benchmark, item_key, item_text, rules):
-        df = df.mapInArrow(_clean(items, rules, at), df.schema)
+    blocks = _blocks(benchmark, item_key, item_text, rules)
+    df = df.mapInArrow(_clean(next(blocks, []), rules, at), df.schema)
+    for items in blocks:
+        df = settled(df, "clean").mapInArrow(_clean(items, rules, at), df.schema)
     return df
 
 

@@ -121,6 +121,57 @@ def sharding(rows, shards, slots=4096, overhead=8):
     return out
 
 
+def leaks(rows, items, units, numbers, width=13, least=4, shortest=6):
+    """(doc_id, item, first word, end word, slots, changed slots, literal) by comparing every window with every window."""
+
+    def forms(word):
+        bare = word.strip(".,;:!?\"'()[]{}<>«»„“”‘’…-–—*_`|/\\") or word
+        low = bare.lower()
+        if re.fullmatch(r"[+\-$€£]*\d[\d.,:/]*(st|nd|rd|th)?[%$€£]?", bare) or low in numbers:
+            return low, "<num>"
+        if low in units:
+            return low, "<unit>"
+        m = re.fullmatch(r"[+\-$€£]*\d[\d.,]*([^\W\d_]+)", low)
+        if m and m[1] in units:
+            return low, "<num><unit>"
+        return low, "<name>" if bare[:1].isupper() else low
+
+    out = []
+    for d, text in rows:
+        own = [forms(w) for w in (text or "").split()]
+        for item, question in items:
+            asked = [forms(w) for w in (question or "").split()]
+            n = min(width, len(asked))
+            if n < shortest:
+                continue
+            met = {}
+            for j in range(len(asked) - n + 1):
+                b = asked[j : j + n]
+                slots = sum(x != y for x, y in b)
+                for i in range(len(own) - n + 1):
+                    a = own[i : i + n]
+                    literal = all(x[0] == y[0] for x, y in zip(a, b))
+                    typed = slots and width * (n - slots) >= least * n and all(x[1] == y[1] for x, y in zip(a, b))
+                    if literal or typed:
+                        met.setdefault(i - j, []).append(j)
+            for shift, starts in met.items():
+                runs = []
+                for j in sorted(starts):
+                    if runs and j <= runs[-1][1]:
+                        runs[-1][1] = j + n
+                    else:
+                        runs.append([j, j + n])
+                for low, high in runs:
+                    pairs = [(asked[j], own[j + shift]) for j in range(low, high)]
+                    slots = [(b, a) for b, a in pairs if a[1] == b[1] != b[0]]
+                    alike = all((b[0] != y[0] or a[0] == x[0]) and (b[1] != "<name>" or a[0] != x[0] or b[0] == y[0]) for b, a in slots for y, x in slots if b[1] == y[1])
+                    same = "".join("1" if a[0] == b[0] else "0" for b, a in pairs)
+                    literal = "1" * n in same
+                    if literal or alike:
+                        out.append((d, item, low + shift, high + shift, len(slots), sum(b[0] != a[0] for b, a in slots), literal))
+    return sorted(out)
+
+
 def quality_base(text):
     text = text or ""
     w = WORD.findall(text)

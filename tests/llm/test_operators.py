@@ -346,6 +346,40 @@ def test_items_dense_in_placeholders_leak(spark):
     assert [r.doc_id for r in decontamination.decontaminate(docs, bench).collect()] == [4]
 
 
+def questions():
+    """Items, and documents that hold them whole, in part, with other names and numbers, inconsistently, or not."""
+    import random
+
+    rnd = random.Random(8)
+    names, verbs = "Anna Ben Carla Dora Emil Fritz".split(), "pays gives sells lends".split()
+    ask = lambda: "If {0} {5} {1} {2} dollars and {3} cents while {4} {5} {0} 3 euros then who has more at noon".format(*rnd.sample(names, 2), rnd.randint(2, 99), rnd.randint(2, 99), rnd.choice(names), rnd.choice(verbs))
+    items = [(i, ask()) for i in range(12)] + [(20, "Tom has 5 apples and buys 3 more"), (21, "What is the capital of France"), (22, "too short an item"), (23, None), (24, "")]
+    filler = lambda: " ".join(rnd.choice("so it was that some went on by a road with 7 or Max km".split()) for _ in range(rnd.randint(0, 25)))
+    texts = [f"{filler()} {ask()}, {filler()} {rnd.choice(items[:14])[1]} {filler()}" for _ in range(60)]
+    texts += [" ".join(t.split()[: rnd.randint(1, 40)]) for t in texts] + ["Ann has 9 apples and buys 2 more", "what is the capital of Spain", "What is the capital of Spain", "too short an item", None, "", "4 km " * 40]
+    return list(enumerate(texts)), items
+
+
+def test_leaks_by_comparing_all_windows(spark):
+    rows, items = questions()
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(rows, items, set(decontamination.UNITS), set(decontamination.NUMBER_WORDS))
+    got = sorted(tuple(r) for r in decontamination.find_leaks(docs, bench).collect())
+    assert got == want and sum(not x[-1] for x in want) > 50 and sum(x[-1] for x in want) > 50
+    blocks = decontamination.find_leaks(docs, bench, rules=decontamination.Rules(block=60))
+    assert sorted(tuple(r) for r in blocks.collect()) == want
+    kept = decontamination.decontaminate(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in rows} - {x[0] for x in want})
+
+
+def test_leaks_of_odd_rows(spark, odd):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, "same words here")], "item_id long, text string")
+    leak = odd.withColumn("text", F.when(F.col("doc_id") == 5, F.concat("text", F.lit(" four five six"))).otherwise(F.col("text")))
+    assert Counter(r["doc_id"] for r in decontamination.find_leaks(leak, bench).collect()) == Counter({5: 4})
+    kept = decontamination.decontaminate(leak, bench)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({None: 2, 5: 1, 7: 1}) and kept.columns == odd.columns
+
+
 # 10: SimHash
 
 
