@@ -46,8 +46,8 @@ TEMPLATES = (
 )
 BASE64_TOKEN = r"\b[A-Za-z0-9+/]{80,}={0,2}\b"
 HEX_TOKEN = r"\b[0-9A-Fa-f]{120,}\b"
-ZERO_WIDTH = "​‌‍﻿⁠­"
-BIDI = "‪‫‬‭‮⁦⁧⁨⁩"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff\u2060\u00ad"
+BIDI = "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 WEIGHTS = {"direct_phrase": 3, "control_bucket": 1, "role_bucket": 2, "review_bucket": 2, "zero_width_present": 1, "bidi_controls_present": 1, "fuzzy_match": 2}
 FLAGGED_SCORE = 4
 FUZZY_THRESHOLD = 92.0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import string
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,24 +29,55 @@ def has_bidi(text: Column) -> Column:
 
 def normalized_value(text: str | None) -> str:
     """NFKC, zero-width and bidi characters to spaces, case folded, white space collapsed."""
-    import re
-    import unicodedata
-
     spaced = unicodedata.normalize("NFKC", text or "").translate(dict.fromkeys(map(ord, R.ZERO_WIDTH + R.BIDI), " "))
     return re.sub(r"\s+", " ", spaced.casefold()).strip()
 
 
+def _plain_class() -> str:
+    """ASCII and those Latin letters and marks that NFKC leaves alone and that fold to their lower case, as a character class.
+
+    Java looks up single characters below 256 in one table, and tries ranges one by one.
+    """
+    single = [*range(0x80), *(i for i in range(0xA1, 0x100) if _folds_to_lower(chr(i)))]
+    kept = [i for i in [*range(0x100, 0x180), *range(0x2010, 0x2028)] if _folds_to_lower(chr(i))]
+    starts, ends = [i for i in kept if i - 1 not in kept], [i for i in kept if i + 1 not in kept]
+    return "".join(f"\\x{i:02x}" for i in single) + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
+def _folds_to_lower(c: str) -> bool:
+    return unicodedata.normalize("NFKC", c) == c and c.casefold() == c.lower() and len(c.lower()) == 1 and c not in R.ZERO_WIDTH + R.BIDI
+
+
+PLAIN = _plain_class()
+
+
+def is_plain(text: Column) -> Column:
+    """Is lower case all that normalizing changes, but for white space? Where bytes and characters are as many, the text is ASCII."""
+    text = F.coalesce(text, F.lit(""))
+    return (F.octet_length(text) == F.length(text)) | ~text.rlike(f"[^{PLAIN}]")
+
+
 @F.pandas_udf(T.StringType())
 def _normalized(texts: pd.Series) -> pd.Series:
-    return texts.map(normalized_value)
+    return texts.map(normalized_value, na_action="ignore")
 
 
 # Catalyst would otherwise plan it once for the filter and once for the projection.
 _normalized_once = _normalized.asNondeterministic()
 
 
+def normalized_others(text: Column) -> Column:
+    """normalized_value of texts that aren't plain, by Python; null for the others."""
+    return _normalized_once(F.when(~is_plain(text), text))
+
+
+def normalized_plain(text: Column) -> Column:
+    """normalized_value of plain texts, in whole-stage code."""
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x1c-\x1f]+", " "))
+
+
 def normalized(text: Column) -> Column:
-    return _normalized_once(text)
+    return F.coalesce(normalized_others(text), normalized_plain(text))
 
 
 def rot13(text: Column) -> Column:
