@@ -26,16 +26,19 @@ EXTRACTED = (
 
 # The output columns of each generation, in order.
 FINDINGS = {
-    "v3": "pdf_path source page text text_norm_snip text_len prompty prompty_score fuzzy_best fuzzy_template reasons size_pt opacity type layer color bbox annot_subtype annot_title annot_subject widget_name widget_type meta_field embedded_filename decode_method bidi_present zero_width_present".split(),
-    "v2": "pdf_path source page text text_len size_pt opacity type layer color bbox prompty reasons annot_subtype annot_title annot_subject widget_name widget_type meta_field embedded_filename".split(),
-    "v1": "doi version date pdf_path page text text_len size_pt opacity type layer color bbox prompty reasons".split(),
+    "v3": ("pdf_path", "source", "page", "text", "text_norm_snip", "text_len", "prompty", "prompty_score", "fuzzy_best", "fuzzy_template", "reasons", "size_pt", "opacity", "type", "layer", "color", "bbox", "annot_subtype", "annot_title", "annot_subject", "widget_name", "widget_type", "meta_field", "embedded_filename", "decode_method", "bidi_present", "zero_width_present"),
+    "v2": ("pdf_path", "source", "page", "text", "text_len", "size_pt", "opacity", "type", "layer", "color", "bbox", "prompty", "reasons", "annot_subtype", "annot_title", "annot_subject", "widget_name", "widget_type", "meta_field", "embedded_filename"),
+    "v1": ("doi", "version", "date", "pdf_path", "page", "text", "text_len", "size_pt", "opacity", "type", "layer", "color", "bbox", "prompty", "reasons"),
 }
 SUMMARY = {
-    "v3": "pdf_path file_size_bytes mtime_iso status error n_pages n_findings_total n_span_findings n_page_text_findings n_annotation_findings n_widget_findings n_metadata_findings n_embedded_findings any_prompty any_hidden_or_transparent any_layer_text bidi_present zero_width_present annotation_count widget_count embedded_file_count ocg_count".split(),
-    "v2": "pdf_path file_size_bytes mtime_iso status error n_pages n_findings_total n_span_findings n_annotation_findings n_widget_findings n_metadata_findings n_embedded_findings any_prompty any_hidden_or_transparent any_layer_text has_annotations has_widgets embedded_file_count ocg_count".split(),
-    "v1": "doi version date pdf_downloaded pdf_path n_findings any_prompty any_hidden_or_transparent status error".split(),
+    "v3": ("pdf_path", "file_size_bytes", "mtime_iso", "status", "error", "n_pages", "n_findings_total", "n_span_findings", "n_page_text_findings", "n_annotation_findings", "n_widget_findings", "n_metadata_findings", "n_embedded_findings", "any_prompty", "any_hidden_or_transparent", "any_layer_text", "bidi_present", "zero_width_present", "annotation_count", "widget_count", "embedded_file_count", "ocg_count"),
+    "v2": ("pdf_path", "file_size_bytes", "mtime_iso", "status", "error", "n_pages", "n_findings_total", "n_span_findings", "n_annotation_findings", "n_widget_findings", "n_metadata_findings", "n_embedded_findings", "any_prompty", "any_hidden_or_transparent", "any_layer_text", "has_annotations", "has_widgets", "embedded_file_count", "ocg_count"),
+    "v1": ("doi", "version", "date", "pdf_downloaded", "pdf_path", "n_findings", "any_prompty", "any_hidden_or_transparent", "status", "error"),
 }
 
+#: Columns of a document that its findings carry where it has them.
+KEYS = ("doi", "version", "date")
+
 #: A candidate: where it comes from, its text, what is decoded and under which tag, and context.
 FIELDS = {
     "emit": "array<int>", "origin": "string", "source": "string", "page": "int", "text": "string", "base_reason": "string", "visible_reasons": "array<string>", "decode_text": "string", "decode_tag": "string",
@@ -142,7 +145,8 @@ def _decoded(c: Column) -> Column:
 
 
 def candidates(extracted: DataFrame, rules: R.Rules) -> DataFrame:
-    """doc_key and one row for each candidate text, decoded payloads included."""
+    """doc_key, the document's KEYS, and one row for each candidate text, decoded payloads included."""
+    own = ["doc_key", *(k for k in KEYS if k in extracted.columns)]
     on, empty = set(rules.channels), F.array().cast(_array())
     decode = "decode" in on
 
@@ -152,10 +156,10 @@ def candidates(extracted: DataFrame, rules: R.Rules) -> DataFrame:
 
     groups = [_metadata(decode)] * ("metadata" in on) + [_embedded()] * ("embedded" in on) + [F.flatten(F.transform(F.col("pages"), of_page))]
     everything = F.concat(*(F.coalesce(g.cast(_array()), empty) for g in groups))
-    rows = extracted.select("doc_key", F.explode(everything).alias("c"))
+    rows = extracted.select(*own, F.explode(everything).alias("c"))
     if decode:
-        rows = rows.select("doc_key", F.explode(F.concat(F.array("c"), _decoded(F.col("c")))).alias("c"))
-    return rows.select("doc_key", "c.*")
+        rows = rows.select(*own, F.explode(F.concat(F.array("c"), _decoded(F.col("c")))).alias("c"))
+    return rows.select(*own, "c.*")
 
 
 def findings(extracted: DataFrame, preset: str = "v3", rules: R.Rules | None = None) -> DataFrame:
@@ -203,8 +207,8 @@ def summary(extracted: DataFrame, found: DataFrame, preset: str = "v3") -> DataF
     grouped = found.groupBy("doc_key").agg(*(c.alias(k) for k, c in counts.items()))
     over_pages = lambda field: F.coalesce(F.aggregate("pages", F.lit(0), lambda n, p: n + F.greatest(F.size(p[field]), F.lit(0))), F.lit(0))
     facts = extracted.select(
-        "doc_key", F.col("doc_key").alias("pdf_path"), F.coalesce("file_size_bytes", F.lit(0)).alias("file_size_bytes"),
-        F.coalesce(F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("")).alias("mtime_iso"), "status", F.coalesce("error", F.lit("")).alias("error"),
+        "doc_key", (F.when(F.col("pdf_downloaded"), F.col("doc_key")) if "pdf_downloaded" in extracted.columns else F.col("doc_key")).alias("pdf_path"), F.coalesce("file_size_bytes", F.lit(0)).alias("file_size_bytes"),
+        F.coalesce(F.regexp_replace(F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit("")).alias("mtime_iso"), "status", F.coalesce("error", F.lit("")).alias("error"),
         F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("ocg_count", F.lit(0)).alias("ocg_count"),
         over_pages("annots").alias("annotation_count"), over_pages("widgets").alias("widget_count"), F.greatest(F.size("embedded"), F.lit(0)).alias("embedded_file_count"),
         *(c for c in ("doi", "version", "date", "pdf_downloaded") if c in extracted.columns),

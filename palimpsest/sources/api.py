@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 DETAILS = "https://api.medrxiv.org/details"
 CONTENT = "https://www.medrxiv.org/content"
 PAGE = 100
-META = "doi version date title authors author_corresponding author_corresponding_institution type license category jatsxml abstract published server".split()
+META = ["doi", "version", "date", "title", "authors", "author_corresponding", "author_corresponding_institution", "type", "license", "category", "jatsxml", "abstract", "published", "server"]
 RETRIED = (429, 500, 502, 503, 504)
 COLLECTION = "struct<collection:array<struct<" + ",".join(f"{k}:string" for k in META) + ">>>"
 
@@ -45,15 +45,28 @@ class Retry:
 SCAN, ENRICH = Retry(), Retry(cap=60.0, header_capped=False, any_server_error=True, jitter="plus", retry_connection=False)
 
 
-def http(url: str) -> tuple[int, dict, bytes]:
-    from urllib.error import HTTPError
-    from urllib.request import urlopen
+def client(timeout: float = 60, user_agent: str = "") -> Fetcher:
+    """A fetcher over HTTP."""
+
+    def http(url: str) -> tuple[int, dict, bytes]:
+        from urllib.error import HTTPError
+        from urllib.request import Request, urlopen
+
+        try:
+            with urlopen(Request(url, headers={"User-Agent": user_agent} if user_agent else {}), timeout=timeout) as r:
+                return r.status, dict(r.headers), r.read()
+        except HTTPError as e:
+            return e.code, dict(e.headers or {}), b""
+
+    return http
 
-    try:
-        with urlopen(url, timeout=60) as r:
-            return r.status, dict(r.headers), r.read()
-    except HTTPError as e:
-        return e.code, dict(e.headers or {}), b""
+
+http = client()
+
+
+def shared_pause(rows: DataFrame, pause: float) -> float:
+    """The pause of each task, so that all that run at once keep the pace of one with `pause`."""
+    return pause * min(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def fetch(url: str, fetcher: Fetcher = http, retry: Retry = SCAN, sleep: Callable[[float], None] = time.sleep, rng: Callable[[], float] = random.random) -> tuple[int, bytes]:
@@ -173,6 +186,7 @@ def flatten_collection(bodies: DataFrame, body: str = "body") -> DataFrame:
 def enrich(dois: DataFrame, server: str = "medrxiv", fetcher: Fetcher = http, retry: Retry = ENRICH, pause: float = 0.2) -> DataFrame:
     """Metadata of each DOI: a row for each version; one blank row where the look-up fails; none where it is empty."""
     schema = ", ".join(f"{k} string" for k in META)
+    pause = shared_pause(dois, pause)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,7 +197,10 @@ def enrich(dois: DataFrame, server: str = "medrxiv", fetcher: Fetcher = http, re
                     status, body = fetch(f"{DETAILS}/{server}/{quote(doi, safe='/')}", fetcher, retry)
                     if status >= 400:
                         raise OSError(f"status {status}")
-                    for e in json.loads(body).get("collection") or []:
+                    answer = json.loads(body)
+                    if not isinstance(answer, dict):
+                        raise ValueError("not an object")
+                    for e in answer.get("collection") or []:
                         rows.append({k: str(e[k]) if e.get(k) is not None else blank[k] for k in META})
                 except (OSError, ValueError):
                     rows.append(blank)
@@ -193,29 +210,34 @@ def enrich(dois: DataFrame, server: str = "medrxiv", fetcher: Fetcher = http, re
     return dois.select("doi").mapInPandas(run, schema)
 
 
-def download(preprints: DataFrame, folder: str, fetcher: Fetcher = http, pause: float = 0.25) -> DataFrame:
-    """(doi, version, date) with pdf_downloaded and pdf_path: from the cache folder if there and not empty, else fetched."""
+def download(preprints: DataFrame, folder: str, fetcher: Fetcher = http, pause: float = 0.25, retry: Retry = SCAN, content: bool = False) -> DataFrame:
+    """(doi, version, date) with pdf_downloaded and pdf_path: from the cache folder if there and not empty, else fetched.
+
+    content: the files' bytes as well, read where they were fetched, so that the folder need not be a shared one.
+    """
     named = preprints.withColumns({"__url": pdf_url(F.col("doi"), F.col("version")), "__name": cache_name(F.col("doi"), F.col("version"))})
+    pause = shared_pause(named, pause)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            paths = []
-            for url, name in zip(batch["__url"], batch["__name"]):
+            for doi, version, date, url, name in batch[["doi", "version", "date", "__url", "__name"]].itertuples(index=False):
                 path = os.path.join(folder, name)
                 if not (os.path.exists(path) and os.path.getsize(path)):
-                    path = _save(url, path, fetcher)
+                    path = _save(url, path, fetcher, retry)
                     time.sleep(pause)
-                paths.append(path)
-            out = batch[["doi", "version", "date"]].copy()
-            out["pdf_downloaded"], out["pdf_path"] = [p is not None for p in paths], paths
-            yield out
+                row = {"doi": [doi], "version": [version], "date": [date], "pdf_downloaded": [path is not None], "pdf_path": [path]}
+                if content:
+                    row |= {"file_size_bytes": [os.path.getsize(path) if path else 0], "mtime": [pd.Timestamp(os.path.getmtime(path), unit="s").floor("us") if path else None]}
+                    with open(path or os.devnull, "rb") as f:
+                        row["content"] = [f.read() if path else None]
+                yield pd.DataFrame(row)
 
-    return named.mapInPandas(run, "doi string, version int, date string, pdf_downloaded boolean, pdf_path string")
+    return named.mapInPandas(run, "doi string, version int, date string, pdf_downloaded boolean, pdf_path string" + (", file_size_bytes bigint, mtime timestamp, content binary" if content else ""))
 
 
-def _save(url: str, path: str, fetcher: Fetcher) -> str | None:
+def _save(url: str, path: str, fetcher: Fetcher, retry: Retry = SCAN) -> str | None:
     try:
-        status, body = fetch(url, fetcher)
+        status, body = fetch(url, fetcher, retry)
     except OSError:
         return None
     if status != 200 or not body:

@@ -13,28 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.operators.scan import EXTRACTED
 
 
+#: Fixed value: the status of a document that could not be had.
+MISSING = "pdf_missing_or_download_failed"
+
+
 def sidecar(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Documents that were extracted elsewhere, in the extracted schema."""
     return spark.read.schema(EXTRACTED).format(fmt).load(path)
 
 
 def extract(files: DataFrame, extractor: Callable[[bytes], dict] | None = None) -> DataFrame:
-    """(doc_key, file_size_bytes, mtime, content) to extracted documents; `extractor` gives the nested fields of one file."""
-    own = extractor or pdf_fields
+    """(doc_key, file_size_bytes, mtime, content) to extracted documents; `extractor` gives the nested fields of one file.
+
+    Other columns stay. A document without content has the status of a failed download.
+    """
+    own, needed = extractor or pdf_fields, ["doc_key", "file_size_bytes", "mtime", "content"]
+    more = [f for f in files.schema if f.name not in needed]
+    carried = [f.name for f in more]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
                 row = {"doc_key": r.doc_key, "file_size_bytes": r.file_size_bytes, "mtime": r.mtime, "status": "ok", "error": "", "n_pages": 0, "ocg_count": 0, "metadata": {}, "xmp": "", "embedded": [], "pages": []}
+                row |= {k: getattr(r, k) for k in carried}
                 try:
-                    row |= own(r.content)
+                    row |= {"status": MISSING} if r.content is None else own(r.content)
                 except Exception as e:  # one bad document is a row, not a failed job
                     row |= {"status": "error", "error": f"{type(e).__name__}: {e}"}
                 rows.append(row)
             yield pd.DataFrame(rows)
 
-    return files.select("doc_key", "file_size_bytes", "mtime", "content").mapInPandas(run, EXTRACTED)
+    return files.select(*needed, *carried).mapInPandas(run, EXTRACTED + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more))
 
 
 def span_text(chars: list) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,16 @@ def discover(spark: SparkSession, path: str, *, recursive: bool = True) -> DataF
     if urlparse(path).scheme in ("", "file") and not os.path.isdir(urlparse(path).path):
         raise ValueError(f"not a folder: {path}")
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(path).select(local_path(F.col("path")).alias("doc_key"), F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("mtime"), "content")
+    return files_of(reader.load(path))
+
+
+def files_of(rows: DataFrame) -> DataFrame:
+    return rows.select(local_path(F.col("path")).alias("doc_key"), F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("mtime"), "content")
+
+
+def named_files(spark: SparkSession, keys: list[str]) -> DataFrame:
+    """The files with these keys, which are paths as discover() gives them; characters with a meaning in patterns are escaped."""
+    return files_of(spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", k) for k in keys]))
 
 
 def local_path(path: Column) -> Column:
@@ -42,15 +52,19 @@ def not_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def processed(spark: SparkSession, path: str, key: str = "pdf_path") -> DataFrame | None:
-    """The keys of a summary written before, whatever their status; None if there is none or it lacks the column."""
+def processed(spark: SparkSession, path: str, keys: dict[str, str] | None = None) -> DataFrame | None:
+    """The keys of a summary written before, whatever their status; None if there is none or it lacks a column.
+
+    keys: the names that the summary's columns get; pdf_path as doc_key if not given.
+    """
+    keys = keys or {"pdf_path": "doc_key"}
     try:
-        found = spark.read.parquet(path) if not path.endswith(".csv") else spark.read.csv(path, header=True)
+        found = spark.read.parquet(path) if not path.endswith(".csv") else spark.read.csv(path, header=True, multiLine=True, escape='"')
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
-    return found.select(F.col(key).alias("doc_key")) if key in found.columns else None
+    return found.select(*(F.col(k).alias(v) for k, v in keys.items())) if set(keys) <= set(found.columns) else None
 
 
 def distinct_keys(rows: DataFrame, key: str = "doi", limit: int = 0) -> DataFrame:

@@ -1,22 +1,29 @@
 """Sinks, and the scan of a folder as it fills.
 
-A run appends findings first and the summary last; a document counts as done once its summary row is there. Each batch
+A run takes documents in batches and appends each batch's findings first and its summary last; a document counts as done
+once its summary row is there. Outputs are folders of part files; each CSV part has the header. Each batch of a stream
 writes to a folder of its own number, so a batch that runs again replaces what it wrote.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.operators.scan import FINDINGS, SUMMARY, findings, summary
+from palimpsest.sources import api
 from palimpsest.sources.extract import extract
-from palimpsest.sources.folder import discover, local_path, not_done, processed, todo
+from palimpsest.sources.folder import discover, local_path, named_files, not_done, processed, todo
+from palimpsest.sources.tables import spread
+
+#: What is kept of an error's text.
+ERROR_CHARS = 2000
 
 
 @dataclass(frozen=True)
@@ -53,24 +60,76 @@ def append(df: DataFrame, path: str, columns: list[str]) -> None:
         df.select(*(F.col(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in columns)).write.mode("append").parquet(path)
 
 
-def run(spark: SparkSession, input_dir: str, *, out: str = "findings.csv", recursive: bool = True, resume: bool = True, max_files: int = 0, shard_count: int = 0, shard_index: int = 0, sort: bool = True, preset: str = "v3", extractor: Callable[[bytes], dict] | None = None) -> RunResult:
-    """Scans a folder of documents."""
-    files = discover(spark, input_dir, recursive=recursive)
-    chosen = todo(files, shard_count=shard_count, shard_index=shard_index, sort=sort, max_files=max_files)
-    done = processed(spark, summary_path(out)) if resume else None
-    left = chosen if done is None else not_done(chosen, done, ["doc_key"])
-    total = chosen.select("doc_key").count()
-    documents = extract(left, extractor).persist()
+def _written(documents: DataFrame, out: str, preset: str) -> int:
+    """Findings and summary of some documents, appended in this order; how many documents could not be read."""
+    documents = documents.persist()
+    found = findings(documents, preset).persist()
     try:
-        found = findings(documents, preset).persist()
+        found.count()  # whatever fails, fails before anything is written
+        failed = documents.where("status = 'error'").count()
         append(found.orderBy("doc_key", "emit"), out, FINDINGS[preset])
-        papers = summary(documents, found, preset)
-        counts = documents.agg(F.count(F.lit(1)), F.count_if(F.col("status") == "error")).first()
-        append(papers, summary_path(out), SUMMARY[preset])
-        found.unpersist()
+        append(summary(documents, found, preset), summary_path(out), SUMMARY[preset])
+        return failed
     finally:
+        found.unpersist()
         documents.unpersist()
-    return RunResult(os.path.abspath(out), os.path.abspath(summary_path(out)), counts[0], total - counts[0], counts[1])
+
+
+def scan_all(rows: list[Row], documents_of: Callable[[list[Row]], DataFrame], failed_row: Callable[[Row, str], DataFrame], out: str, preset: str) -> int:
+    """Scans the documents of some rows. Where that fails, halves are tried, down to the one document that gets the error as its status."""
+    try:
+        return _written(documents_of(rows), out, preset)
+    except Exception as e:
+        if len(rows) == 1:
+            append(failed_row(rows[0], f"{type(e).__name__}: {e}"[:ERROR_CHARS]), summary_path(out), SUMMARY[preset])
+            return 1
+    half = len(rows) // 2
+    return sum(scan_all(part, documents_of, failed_row, out, preset) for part in (rows[:half], rows[half:]))
+
+
+def run(spark: SparkSession, input_dir: str, *, out: str = "findings.csv", recursive: bool = True, resume: bool = True, max_files: int = 0, shard_count: int = 0, shard_index: int = 0, sort: bool = True, preset: str = "v3", extractor: Callable[[bytes], dict] | None = None, per_batch: int = 5000) -> RunResult:
+    """Scans a folder of documents, `per_batch` at a time; what a batch has written stays if the run is stopped."""
+    chosen = todo(discover(spark, input_dir, recursive=recursive), shard_count=shard_count, shard_index=shard_index, sort=sort, max_files=max_files).select("doc_key")
+    done = processed(spark, summary_path(out)) if resume else None
+    left = chosen if done is None else not_done(chosen, done, ["doc_key"])
+    total, count, errored = chosen.count(), 0, 0
+    failed = lambda r, e: spark.createDataFrame([(r.doc_key, "error", e)], "pdf_path string, status string, error string")
+    for rows in _batches(left.orderBy("doc_key") if sort else left, per_batch):
+        errored += scan_all(rows, lambda part: extract(spread(named_files(spark, [r.doc_key for r in part])), extractor), failed, out, preset)
+        count += len(rows)
+    return RunResult(os.path.abspath(out), os.path.abspath(summary_path(out)), count, total - count, errored)
+
+
+def _batches(keys: DataFrame, size: int) -> Iterator[list[Row]]:
+    """The rows of a table of keys, in order, `size` at a time."""
+    rows = keys.toLocalIterator()
+    while batch := list(itertools.islice(rows, size)):
+        yield batch
+
+
+def crawl(spark: SparkSession, start: str, end: str, *, outdir: str = "./medrxiv_pdfs", out: str = "findings.csv", pause: float = 0.25, max_papers: int = 0, resume: bool = True, retry: api.Retry = api.SCAN, fetcher: api.Fetcher = api.http, base: str = "", extractor: Callable[[bytes], dict] | None = None, per_batch: int = 1000) -> RunResult:
+    """The first generation end to end: preprints of a range of dates are listed, fetched and scanned; every finding and paper carries doi, version and date.
+
+    Papers in the summary already, by doi and version, are skipped. base: the service's address, or a folder of its pages.
+    """
+    spark.dataSource.register(api.PreprintSource)
+    reader = spark.read.format("preprints").options(start=api.checked_date(start), end=api.checked_date(end), max_papers=max_papers)
+    listed = (reader.option("base", base) if base else reader).load().dropDuplicates(["doi", "version"]).persist()
+    done = processed(spark, summary_path(out), {"doi": "doi", "version": "version"}) if resume else None
+    left = listed if done is None else not_done(listed, done.withColumn("version", F.col("version").cast("int")), ["doi", "version"])
+
+    def documents(rows: list[Row]) -> DataFrame:
+        papers = spread(spark.createDataFrame(rows, listed.schema))
+        got = api.download(papers, outdir, fetcher, pause, retry, content=True)
+        return extract(got.withColumn("doc_key", F.coalesce("pdf_path", api.paper_key(F.col("doi"), F.col("version")))).drop("pdf_path"), extractor)
+
+    failed = lambda r, e: spark.createDataFrame([(*r, "error", e)], "doi string, version int, date string, status string, error string")
+    total, count, errored = listed.count(), 0, 0
+    for rows in _batches(left.orderBy("date", "doi", "version"), per_batch):
+        errored += scan_all(rows, documents, failed, out, "v1")
+        count += len(rows)
+    listed.unpersist()
+    return RunResult(os.path.abspath(out), os.path.abspath(summary_path(out)), count, total - count, errored)
 
 
 def follow(spark: SparkSession, input_dir: str, out: str, checkpoint: str, *, preset: str = "v3", extractor: Callable[[bytes], dict] | None = None, per_batch: int = 1000) -> StreamingQuery:
