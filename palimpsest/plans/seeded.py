@@ -64,12 +64,12 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.struct("seq", "text", F.col("size_pt").alias("size"), "opacity", "type", "layer", "color", "bbox", F.coalesce(F.get("bbox", F.lit(1)), F.col("page").cast("double")).alias("y_key"))
     note = F.struct(F.lit(0).alias("seq"), F.lit("Text").alias("subtype"), F.lit("note").alias("title"), F.lit("").alias("subject"), F.lit("").alias("content"), F.col("__first").alias("contents"))
     field = F.struct(F.lit(0).alias("seq"), F.lit("field").alias("field_name"), F.lit("7").alias("field_type"), F.col("__first").alias("field_value"))
-    pages = spans.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(span)).alias("spans")).withColumn("__first", F.substring(F.col("spans")[0]["text"], 1, 200))
+    pages = spans.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(span)).alias("spans")).withColumn("__first", F.col("spans")[0]["text"])
     page = F.struct("page", "spans", F.array(note).alias("annots"), F.array(field).alias("widgets"))
     docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
     # Few bytes, but long work in the fuzzy rule: a fixed number of parts, which adaptive execution leaves alone.
     docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    first = F.substring(F.col("pages")[0]["spans"][0]["text"], 1, 200)
+    first = F.col("pages")[0]["spans"][0]["text"]
     return docs.select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("doc_key"), F.lit(0).cast("bigint").alias("file_size_bytes"), F.lit(None).cast("timestamp").alias("mtime"), F.lit("ok").alias("status"), F.lit("").alias("error"),
         F.size("pages").alias("n_pages"), F.lit(0).alias("ocg_count"), F.create_map(F.lit("Keywords"), first).alias("metadata"), F.lit("").alias("xmp"),
