@@ -182,17 +182,31 @@ FROM (SELECT 'doc/' || doc_id::VARCHAR AS doc_key, count(*)::BIGINT AS n_pages F
 
 
 def fuzzy(rows: str, key: str) -> str:
-    """Best template of each row's text n: the longest common subsequence with every window, by one integer of a bit for each character of the template."""
+    """Best template of each row's text n (by distinct keys). The shorter string slides over the longer one; the longest common subsequence of a window is found with one integer of a bit for each character of the template."""
     templates = ", ".join(f"({i}, {_q(t)})" for i, t in enumerate(R.TEMPLATES))
     places = "list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN template[i] = c THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT"
-    windows = "list_concat(list_transform(range(1, n - m + 2), lambda i: masks[i:i + m - 1]), list_transform(range(1, m), lambda k: masks[1:k]), list_transform(range(1, m), lambda k: masks[n - k + 1:n]))"
-    left = "list_reduce(list_prepend(whole, w), lambda s, k: ((s + (s & k)) | (s - (s & k))) & whole)"
+    ones = lambda size: f"((1::BIGINT << ({size})) - 1)"
+    over_text = lambda span: f"{{'w': masks[{span}], 'size': m, 'other': len(masks[{span}])::BIGINT}}"
+    over_template = lambda first, size: f"{{'w': list_transform(masks, lambda x: (x >> ({first})) & {ones(size)}), 'size': {size}, 'other': n}}"
+    windows = f"""CASE WHEN n < m THEN [] ELSE list_concat(list_transform(range(1, n - m + 2), lambda i: {over_text('i:i + m - 1')}), list_transform(range(1, m), lambda k: {over_text('1:k')}), list_transform(range(1, m), lambda k: {over_text('n - k + 1:n')})) END,
+  CASE WHEN n > m THEN [] ELSE list_concat(list_transform(range(0, m - n + 1), lambda i: {over_template('i', 'n')}), list_transform(range(1, n), lambda k: {over_template('0', 'k')}), list_transform(range(1, n), lambda k: {over_template('m - k', 'k')})) END"""
+    state = f"list_reduce(list_prepend({ones('v.size')}, v.w), lambda s, k: ((s + (s & k)) | (s - (s & k))) & {ones('v.size')})"
     return f"""WITH texts AS (SELECT {key}, n AS text, length(n)::BIGINT AS n FROM ({rows})), templates AS (SELECT t.i AS place, t.s AS template, length(t.s)::BIGINT AS m FROM (VALUES {templates}) t(i, s)),
 chars AS (SELECT place, map_from_entries(list((c, {places}))) AS bits FROM templates, (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM texts) GROUP BY place),
-masked AS (SELECT {key}, place, template, m, n, ((1::BIGINT << m) - 1) AS whole, list_transform(string_split(text, ''), lambda c: bits[c]) AS masks FROM texts, templates JOIN chars USING (place) WHERE n > 0),
-compared AS (SELECT {key}, place, template, m, whole, unnest({windows}) AS w FROM masked),
-best AS (SELECT {key}, place, template, max(200.0::DOUBLE * (m - bit_count({left})) / (m + len(w))) AS score FROM compared GROUP BY {key}, place, template)
-SELECT {key}, max(score) AS fuzzy_best, arg_max(template, (score, -place)) AS fuzzy_template FROM best GROUP BY {key}"""
+masked AS (SELECT {key}, place, template, m, n, list_transform(string_split(text, ''), lambda c: bits[c]) AS masks FROM texts, templates JOIN chars USING (place) WHERE n > 0),
+compared AS (SELECT {key}, place, template, unnest(list_concat({windows})) AS v FROM masked),
+best AS (SELECT {key}, place, template, max(200.0::DOUBLE * (v.size - bit_count({state})) / (v.size + v.other)) AS score FROM compared GROUP BY {key}, place, template)
+SELECT {key}, max(score) AS fuzzy_best, CASE WHEN max(score) > 0 THEN arg_max(template, (score, -place)) ELSE '' END AS fuzzy_template FROM best GROUP BY {key}"""
+
+
+def findings_with_fuzzy() -> str:
+    """The findings of the whole scan; the fuzzy rule is tried where it can still decide. Too slow for whole tables: tests run it on a few documents."""
+    near = f"coalesce(fuzzy_best, 0) >= {R.FUZZY_THRESHOLD}"
+    return f"""WITH likely AS MATERIALIZED (SELECT *, md5(n) AS id FROM ({scored(candidates())}) WHERE keep OR prompty_score >= {R.FLAGGED_SCORE - R.WEIGHTS['fuzzy_match']}),
+matched AS MATERIALIZED ({fuzzy('SELECT DISTINCT id, n FROM likely', 'id')})
+SELECT *, concat_ws(';', nullif(base_reason, ''), nullif(prompty_reasons, ''), CASE WHEN near THEN 'fuzzy_match' END) AS reasons
+FROM (SELECT * EXCLUDE (prompty_score), {near} AS near, prompty_score + CASE WHEN {near} THEN {R.WEIGHTS['fuzzy_match']} ELSE 0 END AS prompty_score FROM likely LEFT JOIN matched USING (id))
+WHERE keep OR prompty_score >= {R.FLAGGED_SCORE}"""
 
 
 def _one_decode(docs: str, method: str) -> str:
