@@ -6,7 +6,7 @@ with partial aggregation, the keys a document loses come back to it as one array
 their order needs no sort. The text itself is shuffled once.
 
 Defined cases: a null or empty text is one empty line; a row with no doc_id keeps its lines and holds back nobody's;
-rows of equal doc_id count as one document; an empty table gives an empty result; extra columns stay, those named like a
+rows of equal doc_id count as one document; a very long text is split like any other; an empty table gives an empty result; extra columns stay, those named like a
 result column are replaced.
 """
 
@@ -37,8 +37,8 @@ def keys_of(text: str | None, min_chars: int) -> list[bytes | None]:
     return out
 
 
-def dropped_keys(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_chars: int = 10) -> DataFrame:
-    """(key, lost): the line keys that each document loses, for those that lose any."""
+def dropped_keys(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """(key, lost): the line keys that each document loses, for those that lose any; keys of at least min_docs documents are lost."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -51,16 +51,20 @@ def dropped_keys(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_
 
     found = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(lines, "d long, k binary")
     # As a table, so that a line which very many documents have is split over tasks when joined.
-    keepers = settled(found.groupBy("k").agg(F.min("d").alias("keeper"), F.max("d").alias("last")).where("keeper < last").select("k", "keeper"), "keepers")
+    # Of two documents, the smallest and the largest id tell; more are counted, each id once.
+    counted = F.lit(2) if min_docs <= 2 else F.count(F.lit(1))
+    kinds = found if min_docs <= 2 else found.distinct()
+    keepers = kinds.groupBy("k").agg(F.min("d").alias("keeper"), F.max("d").alias("last"), counted.alias("docs")).where(f"keeper < last and docs >= {int(min_docs)}")
+    keepers = settled(keepers.select("k", "keeper"), "keepers")
     lost = found.join(keepers, "k").where("d > keeper").select("d", "k")
     return lost.groupBy("d").agg(F.collect_set("k").alias("lost")).withColumnRenamed("d", key)
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_chars: int = 10) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", *, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """df with the kept lines in its text column, and n_lines and n_dropped."""
     name = text
     base = df.drop("n_lines", "n_dropped", "__lost")
-    lost = dropped_keys(base, key, text, min_chars=min_chars).withColumnRenamed("lost", "__lost")
+    lost = dropped_keys(base, key, text, min_chars=min_chars, min_docs=min_docs).withColumnRenamed("lost", "__lost")
     joined = base.join(lost.hint("shuffle_hash"), key, "left")
     at = joined.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("__lost").schema) + ", n_lines long, n_dropped long"

@@ -11,7 +11,7 @@ held against the language nearest to it. A language of fewer than `min_reference
 texts, and those with no code where no language has one, are judged by the base rules only, with a distance of 0.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null lang counts as none; repeated rows are
-judged alike; an empty table gives an empty result; extra columns stay, those named like a result column are replaced.
+judged alike; a very long text is judged whole; an empty table gives an empty result; extra columns stay, those named like a result column are replaced.
 """
 
 from __future__ import annotations

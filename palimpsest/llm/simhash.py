@@ -16,7 +16,8 @@ they link, and a meeting place has at most as many members as it has neighbours,
 members.
 
 Defined cases: a null or empty text has no shingles and fingerprint 0, which links like any other; rows of equal doc_id
-keep their own fingerprints; a null doc_id is in a component but gives it no name; an empty table gives an empty result.
+keep their own fingerprints; a null doc_id is in a component but gives it no name; bits of very long texts are counted in parts; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations

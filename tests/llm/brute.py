@@ -32,7 +32,7 @@ def substring(rows, width=50):
     return out
 
 
-def lines(rows):
+def lines(rows, least=2):
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     first, docs = {}, {}
     for d, t in rows:
@@ -43,7 +43,7 @@ def lines(rows):
     out = {}
     for d, t in rows:
         own = (t or "").split("\n")
-        kept = [s for s in own if not (len(key(s)) >= 10 and len(docs[key(s)]) > 1 and first[key(s)] < d)]
+        kept = [s for s in own if not (len(key(s)) >= 10 and len(docs[key(s)]) >= least and first[key(s)] < d)]
         out[d] = len(own), len(own) - len(kept), sha("\n".join(kept))
     return out
 

@@ -170,6 +170,49 @@ def test_quality_of_a_minor_language(spark):
     assert [d for d, (k, _) in kept.items() if not k] == [203]
 
 
+def test_distances_by_plain_rules(docs, rows):
+    """References and distances against a plain count of the same corpus, at several limits of length."""
+    import math
+    import re
+
+    for limits in (quality.Rules(), quality.Rules(min_words=20, common_words=7, min_words_compared=30, min_reference_words=200, max_char_distance=0.3, max_word_distance=0.5)):
+        known = {}
+        for k in ("en", "fr"):
+            texts = [t.encode() for _, t, lang, *_ in rows if lang == k and len((t or "").split()) >= limits.min_words]
+            texts = [t for t in texts if 100 * len(re.findall(rb"[#*$%&|<>]", t)) <= len(t)]
+            words = Counter(w for t in texts for w in re.findall(rb"[a-z\x80-\xff]+", t.lower()))
+            chars = Counter(int(quality.CLASSES[b]) for t in texts for b in t)
+            top = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[: limits.common_words]]
+            if sum(words.values()) >= limits.min_reference_words:
+                known[k] = top, words, chars
+        assert known
+
+        def apart(p, q):
+            js = 0.0
+            for x in set(p) | set(q):
+                a, b = p.get(x, 0) / sum(p.values()), q.get(x, 0) / sum(q.values())
+                js += sum(y / 2 * math.log2(2 * y / (a + b)) for y in (a, b) if y)
+            return js
+
+        def distances(t, top, words, chars):
+            own = Counter(int(quality.CLASSES[b]) for b in t)
+            own.pop(0, None)
+            by_char = math.sqrt(max(0.0, apart(own, {k: n for k, n in chars.items() if k}))) if own else 0.0
+            found = re.findall(rb"[a-z\x80-\xff]+", t.lower())
+            if len(found) < limits.min_words_compared:
+                return by_char, None
+            fold = lambda c: Counter({w: n for w, n in c.items() if w in top}) + Counter({None: sum(n for w, n in c.items() if w not in top)})
+            return by_char, math.sqrt(max(0.0, apart(fold(Counter(found)), fold(words)) - len(top) / (8 * math.log(2) * len(found))))
+
+        got = by_id(quality.judge(docs, rules=limits), "char_distance", "word_distance", "base_failed", "kept")
+        for d, t, lang, *_ in rows:
+            raw = (t or "").encode()
+            ways = [distances(raw, *known[k]) for k in ([lang] if lang in known else [] if lang else known)]
+            by_char, by_word = min(ways, key=lambda x: (x[0] if x[1] is None else x[1], x[0]), default=(0.0, None))
+            assert got[d][0] == pytest.approx(by_char, abs=1e-6) and got[d][1] == (None if by_word is None else pytest.approx(by_word, abs=1e-6)), d
+            assert got[d][3] == (not got[d][2] and by_char <= limits.max_char_distance and (by_word is None or by_word <= limits.max_word_distance))
+
+
 def test_divergence():
     a, b = np.array([1.0, 0.0]), np.array([0.0, 3.0])
     assert quality.divergence(a, a) == 0 and quality.divergence(a, b) == pytest.approx(1) and quality.divergence(a, np.zeros(2)) == 0
@@ -302,9 +345,10 @@ def test_katz_in_small_chunks(docs, rows, monkeypatch):
 # 8: line dedup
 
 
-def test_line_dedup(docs, rows):
-    out = line_dedup.dedup_lines(docs).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    assert by_id(out, "n_lines", "n_dropped", "sha") == brute.lines(pairs(rows))
+@pytest.mark.parametrize("least", [2, 6, 30])
+def test_line_dedup(docs, rows, least):
+    out = line_dedup.dedup_lines(docs, min_docs=least).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    assert by_id(out, "n_lines", "n_dropped", "sha") == brute.lines(pairs(rows), least)
 
 
 # 9: decontamination

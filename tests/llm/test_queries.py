@@ -61,3 +61,16 @@ def test_pipeline(spark):
     places = docs.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
     assert all(r["n"] == r["d"] == r["m"] + 1 for r in places)
     assert corpus_pipeline.run(spark, DATA).count() == counts[4]
+
+
+def test_stages_on_odd_rows(spark, odd, nothing):
+    """Null and repeated ids, null texts, repeated rows and other columns: each stage gives its columns, and no row is lost but by its rule."""
+    rows = odd.union(odd.where("doc_id = 7").withColumn("text", F.lit("word " * 30 + "some text of many different words that goes on " + " ".join(f"w{i}" for i in range(60)))))
+    expected = {"quality_rules": 0, "near_duplicates": 7, "benchmark_leaks": 7, "source_mix": None, "shards": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, rows, DATA), stage(spark, nothing, DATA)
+        assert empty.count() == 0 and empty.columns == out.columns
+        if name != "shards":
+            assert out.columns == corpus_pipeline.COLUMNS
+        if expected[name] is not None and name != "quality_rules":
+            assert out.count() == expected[name], name
