@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+
+Defined cases, in every stage: a null or empty text has no words, so the first stage rejects it, the second takes all such as
+copies of each other, the third finds nothing in it, the fourth gives it no words and leaves it out unless whole epochs
+are due, and the fifth counts its overhead; rows of no or equal doc_id are judged by their own texts; repeated rows stay in the
+second stage; very long texts are worked on whole; an empty table gives an empty one; other columns are dropped.
 """
 
 from __future__ import annotations
