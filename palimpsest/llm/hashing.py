@@ -14,7 +14,7 @@ _BASES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 _TABLES: dict[int, np.ndarray] = {}
 #: Words whose hash a worker keeps.
-HELD = 400_000
+HELD = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

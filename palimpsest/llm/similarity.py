@@ -41,7 +41,7 @@ from palimpsest.llm.simhash import SEED, fingerprint, links, named, signed
 #: Bytes of text that are worked on at once.
 SLICE = 1 << 20
 #: Shingles of a chunk of the table, and of a bucket of shingles.
-CHUNK = BUCKET = 1 << 21
+CHUNK = BUCKET = 1 << 20
 #: Rows of one to three longs that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
 MESSAGE = {"bucket": pa.int64(), "chunk": pa.int64(), "payload": pa.binary()}
