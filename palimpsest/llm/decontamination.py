@@ -71,7 +71,7 @@ class Canon(dict):
     def __missing__(self, word: str) -> int:
         literal, typed = self.forms(word)
         self.literal.append(self.digest(literal))
-        self.typed.append(self.digest(typed))
+        self.typed.append(self.literal[-1] if typed == literal else self.digest(typed))
         self.slot.append(typed != literal)
         self[word] = len(self.literal) - 1
         return self[word]
@@ -79,11 +79,12 @@ class Canon(dict):
     def forms(self, word: str) -> tuple[str, str]:
         bare = word.strip(PUNCTUATION) or word
         low = bare.lower()
-        if self.number(bare) or low in self.numbers:
+        letters = bare.isalpha()  # then it has no digit, which both patterns ask for
+        if low in self.numbers or not letters and self.number(bare):
             return low, "<num>"
         if low in self.units:
             return low, "<unit>"
-        if (m := self.glued(low)) and m[1] in self.units:
+        if not letters and (m := self.glued(low)) and m[1] in self.units:
             return low, "<num><unit>"
         if bare[:1].isupper():
             return low, "<name>"
@@ -117,7 +118,7 @@ class Index:
             if n < rules.min_words:
                 continue
             rows = np.array([canon[w] for w in words])
-            for hashes, enough in _windows(canon, rows, n, rules):
+            for hashes, enough in Windows(canon, rows, rules).of(n):
                 for at in np.flatnonzero(enough):
                     found[n][int(hashes[at])].append((place, int(at)))
         self.lengths = sorted(found)
@@ -138,16 +139,22 @@ def _bitmap(values: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _windows(canon: Canon, rows: np.ndarray, n: int, rules: Rules) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Literal, then typed windows of n words: their hashes, and which are looked up."""
-    if len(rows) < n:
-        return
-    at = np.arange(len(rows) - n + 1)
-    slots = np.concatenate([[0], np.cumsum(np.array(canon.slot, bool)[rows])])
-    filled = slots[at + n] - slots[at]
-    for kind, enough in ((canon.literal, np.ones(len(at), bool)), (canon.typed, (filled > 0) & (n - filled >= rules.literal_words(n)))):
-        sums = prefixes(np.array(kind, np.uint64)[rows])
-        yield mix(span_hash(sums, at, at + n) + np.uint64(n)), enough
+class Windows:
+    """The literal and the typed windows of some words, of any length."""
+
+    def __init__(self, canon: Canon, rows: np.ndarray, rules: Rules):
+        self.rules, self.size = rules, len(rows)
+        self.slots = np.concatenate([[0], np.cumsum(np.array(canon.slot, bool)[rows])])
+        self.sums = [prefixes(np.array(kind, np.uint64)[rows]) for kind in (canon.literal, canon.typed)]
+
+    def of(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Literal, then typed windows of n words: their hashes, and which are looked up."""
+        if self.size < n:
+            return
+        at = np.arange(self.size - n + 1)
+        filled = self.slots[n:] - self.slots[: len(at)]
+        for sums, enough in zip(self.sums, (np.ones(len(at), bool), (filled > 0) & (n - filled >= self.rules.literal_words(n)))):
+            yield mix(span_hash(sums, at, at + n) + np.uint64(n)), enough
 
 
 def leaks(texts: list[str], index: Index, canon: Canon) -> Iterator[tuple[int, int, int, int, int, int, bool]]:
@@ -160,8 +167,9 @@ def leaks(texts: list[str], index: Index, canon: Canon) -> Iterator[tuple[int, i
     first = np.cumsum(counts) - counts
     doc = np.repeat(np.arange(len(split)), counts)
     stretches: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+    windows = Windows(canon, rows, index.rules)
     for n in index.lengths:
-        for hashes, enough in _windows(canon, rows, n, index.rules):
+        for hashes, enough in windows.of(n):
             for p in index.hits(n, hashes).tolist():
                 d = int(doc[p])
                 if enough[p] and p + n <= first[d] + counts[d]:
