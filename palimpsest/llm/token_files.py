@@ -11,8 +11,12 @@ Index file: for each record its doc_id, its offset in the data file and its numb
 
 Files appear under their names only when complete; a task that runs again writes the same bytes again.
 
+Rows of one doc_id are ranged on by a hash of their texts and, equal in both, by their places in the table, so an id that
+holds a third of all rows is spread over as many files as its share asks for.
+
 Defined cases: a null or empty text has only the end id; rows with no doc_id come first; rows of equal doc_id are ordered
-by text; an empty table gives no files and an empty result; extra columns are ignored.
+by the XXH64 of their texts; very long texts are encoded whole; an empty table gives no files and an empty result; extra
+columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -125,8 +129,11 @@ class TokenFiles:
     files: DataFrame
 
 
-def _ranged(df: DataFrame, key: str, parts: int) -> DataFrame:
-    return df.repartitionByRange(parts, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), "__text")
+def _ranged(df: DataFrame, parts: int) -> DataFrame:
+    """Rows (key, text) in ascending order of key, hash of text and place, as ranges of about equal numbers of rows."""
+    order = [F.col("__key").asc_nulls_first(), F.col("__hash"), F.col("__row")]
+    placed = df.withColumns({"__hash": F.xxhash64("__text"), "__row": F.monotonically_increasing_id()})
+    return placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("__key", "__text")
 
 
 def write(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 0, root: str | None = None, parts: int | None = None) -> TokenFiles:
@@ -176,9 +183,9 @@ def write(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "t
                 flush(keys, payloads)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "records": [records], "ids": [ids], "bytes": [at]})
 
-    rows = df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = df.select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     schema = "part long, path string, records long, ids long, bytes long"
-    written = _ranged(rows, key, parts or shuffle_width(spark)).mapInArrow(put, schema)
+    written = _ranged(rows, parts or shuffle_width(spark)).mapInArrow(put, schema)
     # One small row for each file, a manifest.
     manifest = spark.createDataFrame(written.collect(), schema).coalesce(1)
     return TokenFiles(root, width, manifest)

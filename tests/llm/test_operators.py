@@ -40,6 +40,16 @@ def test_token_files(spark, docs, rows):
     assert [r.place for r in shuffled] != [r.place for r in plainly]
 
 
+def test_a_hot_id_is_spread_over_files(spark):
+    rows = [(7, f"text {i}") for i in range(1000)] + [(7, "the same")] * 1000 + [(i, f"one {i}") for i in range(1000)]
+    files = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), BPE, parts=8)
+    sizes = [r["records"] for r in files.files.collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 2 * len(rows) / 8
+    read = [(r["doc_id"], r["start"], r["n_tokens"]) for r in token_files.digests(files).orderBy("start").collect()]
+    assert [d for d, _, _ in read] == sorted(d for d, _ in rows)
+    assert all(b[1] == a[1] + a[2] for a, b in zip(read, read[1:]))
+
+
 def test_token_file_damage_is_found(spark, docs):
     files = token_files.write(docs.limit(20), BPE, parts=1)
     path = files.files.first()["path"].removeprefix("file:")
