@@ -18,8 +18,8 @@ import numpy as np
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: ASCII text, Latin letters with their extensions, and common punctuation.
 SETTLED = r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*"
-#: Entries of each table; one that is full is emptied. About 80 MB.
-TABLE = 400_000
+#: Entries of the table of parts, and of that of pre-tokens; one that is full is emptied. About 160 and 80 MB.
+PARTS, TABLE = 800_000, 400_000
 
 
 def byte_letters() -> str:
@@ -63,7 +63,7 @@ class Encoder(dict):
         self.pieces = Pieces(self.library.model)
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= TABLE:
+        if len(self) >= PARTS:
             self.clear()
         if part.isalpha():
             value = self.pieces.encode(f" {part}")
