@@ -2,7 +2,8 @@
 
 Byte-level BPE never merges across pre-tokens, so the ids of a text are its pre-tokens' ids in a row. Pre-tokens repeat
 heavily: a bounded table of those met saves most of the work. A pre-token never reaches over a single space between two
-other characters either, so such texts are first split there, and the parts are looked up in a table as well. The
+other characters either, so such texts are first split there, and the parts are looked up in a table as well (a part that
+is empty or has white space at an end is not in it, and tells that the text is not such a one). The
 pre-token pattern is applied here by the regex module only where every character is of a block that all Unicode
 versions agree on; any other text, and one that holds the string of a special token, goes whole through the library.
 """
@@ -18,6 +19,8 @@ import numpy as np
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: ASCII text, Latin letters with their extensions, and common punctuation.
 SETTLED = r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*"
+#: Those of them that Latin-1 has.
+SETTLED_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 #: Entries of the table of parts, and of that of pre-tokens; one that is full is emptied. About 160 and 80 MB.
 PARTS, TABLE = 800_000, 400_000
 
@@ -58,11 +61,12 @@ class Encoder(dict):
         self.library.encode_special_tokens = special_as_text
         self.special = [] if special_as_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split = regex.compile(PATTERN).findall
-        self.settled = regex.compile(SETTLED).fullmatch
-        self.spaces = regex.compile(r"\s\s").search
+        self.other = regex.compile(SETTLED).fullmatch
         self.pieces = Pieces(self.library.model)
 
     def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise KeyError(part)
         if len(self) >= PARTS:
             self.clear()
         if part.isalpha():
@@ -74,6 +78,12 @@ class Encoder(dict):
         self[part] = value
         return value
 
+    def settled(self, text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, SETTLED_BYTES)
+        except UnicodeEncodeError:
+            return bool(self.other(text))
+
     def by_piece(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
@@ -83,10 +93,13 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         if not self.settled(text) or any(s in text for s in self.special):
             return self.whole(text)
-        if text[-1:].isspace() or self.spaces(text):
-            return self.by_piece(text)
         first, *rest = text.split(" ")
-        return self.by_piece(first) + b"".join(map(self.__getitem__, rest))
+        try:
+            if first and not first[-1].isspace():
+                return self.by_piece(first) + b"".join(map(self.__getitem__, rest))
+        except KeyError:  # white space beside a space
+            pass
+        return self.by_piece(text)
 
 
 @functools.cache

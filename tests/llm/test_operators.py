@@ -1,5 +1,6 @@
 """The corpus operators against plain versions, and on the defined odd cases."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -75,6 +76,15 @@ def test_encoder_is_the_library():
         assert e.ids(t) == e.whole(t), t
 
 
+def test_encoder_on_any_white_space():
+    from palimpsest.llm.encoding import Encoder
+
+    e, pick = Encoder(BPE), random.Random(5)
+    for _ in range(3000):
+        t = "".join(pick.choices("ab'1.é–  \n\t\r\x0b\xa0", k=pick.randrange(9)))
+        assert e.ids(t) == e.whole(t), repr(t)
+
+
 # 2: mixing
 
 
