@@ -13,7 +13,7 @@ Tables are partitioned by hash and everything moves as packed arrays. The corpus
   sums      chunk -> word bucket:    for each context, how many of the bigrams it owns, and of their words, have each count;
                                      back: the context's weight
 and each chunk scores its documents. Sums are of whole numbers, so weights don't depend on the order of the messages. A frequent word or bigram is one entry of a chunk at most, so none makes a group
-large; no task holds more than a chunk or a bucket. There are as many buckets and partitions as the number of chunks asks
+large; no task holds more than a chunk or a bucket, and works on `PIECE` tokens or entries of it at a time. There are as many buckets and partitions as the number of chunks asks
 for; a message holds one entry at least, so however many chunks and buckets there are, messages never outnumber entries.
 
 Words stand as 64-bit hashes. Defined cases: a null or empty text has only its end token; a very long text is a chunk of its
@@ -39,6 +39,8 @@ CHUNK = 1_000_000
 #: Chunks whose words or bigrams fill a bucket at most.
 CHUNKS = 4
 SLICE = 1 << 20
+#: Entries of a bucket that are merged at a time, and tokens of a chunk that are scored at a time, whole documents of them.
+PIECE = 1 << 17
 END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567696E)
 #: Counts above this are not discounted.
 DISCOUNTED = 5
@@ -76,11 +78,13 @@ class Model:
         return np.where(counts > 0, (1 - mass / np.maximum(counts + more, 1)) / (1 - lower), 1.0), more
 
 
-def spread(place: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """By place: how many counts there are of 1, 2, ... DISCOUNTED, and the sum of those above."""
-    own = [np.bincount(place[counts == r], minlength=size) for r in range(1, DISCOUNTED + 1)]
+def spread(place: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+    """By place: how many counts there are of 1, 2, ... DISCOUNTED, and the sum of those above, each into a row of out."""
+    size = out.shape[1]
+    for r in range(1, DISCOUNTED + 1):
+        out[r - 1] = np.bincount(place[counts == r], minlength=size)
     over = counts > DISCOUNTED
-    return np.stack([*own, np.bincount(place[over], counts[over], size).astype(np.int64)])
+    out[DISCOUNTED] = np.bincount(place[over], counts[over], size)
 
 
 def discounts(of: np.ndarray) -> np.ndarray:
@@ -107,6 +111,18 @@ MESSAGE = {"bucket": pa.int64(), "chunk": pa.int64(), "payload": pa.binary()}
 MESSAGE_SQL = "bucket long, chunk long, payload binary"
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, each value's place among them, and where each comes first: np.unique, with half as much held."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    values, first = values[new], order[new].astype(np.int32)
+    inverse = np.empty(len(order), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return values, inverse, first
+
+
 def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
     """Where each of n equal ranges of 64-bit keys begins in sorted keys, and the end."""
     edges = [np.uint64((i << 64) // n) for i in range(n)]
@@ -126,8 +142,8 @@ def coded(df: DataFrame, key: str, text: str, folds: int, fold: int) -> tuple[Da
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def out() -> pa.RecordBatch:
-            tokens, lengths, ids, flags = (np.concatenate([h[i] for h in held]) for i in range(4))
-            words, places = np.unique(tokens, return_inverse=True)
+            lengths, ids, flags = (np.concatenate([h[i] for h in held]) for i in range(1, 4))
+            words, places, _ = _distinct(np.concatenate([h[0] for h in held]))
             return _rows({"chunk": [number], "payload": [pack(words, places.astype(np.uint32), lengths.astype(np.uint32), ids, flags)]}, {"chunk": pa.int64(), "payload": pa.binary()})
 
         for ids, texts in _slices(batches):
@@ -184,9 +200,7 @@ class Chunk:
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted bigram keys, each token's place among them, and for each key one token that has it."""
         names = mix(np.append(self.words, BEGIN))
-        keys = mix(names[self.before] * np.uint64(0xD6E8FEB86659FD93) + names[self.places])
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return unique, inverse.astype(np.int32), first.astype(np.int32)
+        return _distinct(mix(names[self.before] * np.uint64(0xD6E8FEB86659FD93) + names[self.places]))
 
 
 def _each(make: Callable[[int, Chunk], Iterator[tuple[int, bytes]]]) -> Callable:
@@ -228,38 +242,56 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _merged(table: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Messages of one bucket: chunks, sizes, then unique keys, their sums, each entry's place and which entries come first."""
-    chunks = table.column("chunk").to_pylist()
+def _messages(table: pa.Table) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """Messages of one bucket: chunks, and the keys and counts each has."""
     parts = [unpack(p.as_py()) for p in table.column("payload")]
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts])
-    unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64)
-    return chunks, [len(p[0]) for p in parts], unique, total, inverse, first
+    return table.column("chunk").to_pylist(), [p[0] for p in parts], [p[1] for p in parts]
 
 
-def _figures(total: np.ndarray) -> bytes:
-    """Counts of counts up to DISCOUNTED + 1, and sum and number of the counts above 0."""
-    of = np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
-    return np.concatenate([of, [total.sum(), (total > 0).sum()]]).astype("<i8").tobytes()
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[tuple[list[slice], list[slice], np.ndarray, np.ndarray, np.ndarray]]:
+    """By ranges of keys, which are hashes, about PIECE entries each: every message's entries in the range, where they are among
+    all entries of the range, the sums of the range's distinct keys, each entry's place among these and which entries come first."""
+    pieces = -(-sum(map(len, keys)) // PIECE)
+    low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
+    edges = np.array([low + (high - low + 1) * i // pieces for i in range(1, pieces)], np.uint64)
+    cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k in keys]
+    for i in range(pieces):
+        own = [slice(c[i], c[i + 1]) for c in cuts]
+        ends = np.cumsum([x.stop - x.start for x in own]).tolist()
+        unique, inverse, first = _distinct(np.concatenate([k[x] for k, x in zip(keys, own)]))
+        total = np.bincount(inverse, weights=np.concatenate([c[x] for c, x in zip(counts, own)]), minlength=len(unique)).astype(np.int64)
+        yield own, [slice(e - (x.stop - x.start), e) for x, e in zip(own, ends)], total, inverse, first
 
 
-def _back(bucket: int, chunks: list[int], sizes: list[int], arrays: list[np.ndarray], figures: bytes) -> pa.Table:
-    ends = np.cumsum(sizes)
-    payloads = [pack(*(a[e - s : e] for a in arrays)) for s, e in zip(sizes, ends)]
-    return pa.Table.from_batches([_rows({"bucket": [bucket] * (len(chunks) + 1), "chunk": [*chunks, WHOLE], "payload": [*payloads, figures]}, MESSAGE)])
+def _figures(total: np.ndarray) -> np.ndarray:
+    """Counts of counts up to DISCOUNTED + 1, and sum and number of the counts above 0."""
+    of = np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
+    return np.concatenate([of, [total.sum(), (total > 0).sum()]]).astype(np.int64)
+
+
+def _counted(table: pa.Table, owners: bool) -> pa.Table:
+    """Back to each chunk: counts of its entries over the corpus and, if asked for, which of those above 0 it owns. And the bucket's figures."""
+    chunks, keys, counts = _messages(table)
+    sums, owned = ([np.zeros(len(k), kind) for k in keys] for kind in (np.int64, np.uint8))
+    figures = np.zeros(DISCOUNTED + 4, np.int64)
+    for own, at, total, inverse, first in _merged(keys, counts):
+        figures += _figures(total)
+        owner = np.zeros(len(inverse), np.uint8)
+        owner[first] = total > 0
+        total = total[inverse]
+        for s, o, x, y in zip(sums, owned, own, at):
+            s[x], o[x] = total[y], owner[y]
+    payloads = [pack(_small(s), *[o] * owners) for s, o in zip(sums, owned)]
+    bucket = table.column("bucket")[0].as_py()
+    return pa.Table.from_batches([_rows({"bucket": [bucket] * (len(chunks) + 1), "chunk": [*chunks, WHOLE], "payload": [*payloads, figures.astype("<i8").tobytes()]}, MESSAGE)])
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    chunks, sizes, _, total, inverse, _ = _merged(table)
-    return _back(table.column("bucket")[0].as_py(), chunks, sizes, [_small(total[inverse])], _figures(total))
+    return _counted(table, owners=False)
 
 
 def _count_bigrams(table: pa.Table) -> pa.Table:
-    chunks, sizes, _, total, inverse, first = _merged(table)
-    owner = np.zeros(len(inverse), np.uint8)
-    owner[first] = 1
-    return _back(table.column("bucket")[0].as_py(), chunks, sizes, [_small(total[inverse]), owner * (total[inverse] > 0).astype(np.uint8)], _figures(total))
+    return _counted(table, owners=True)
 
 
 def _whole(answers: DataFrame) -> np.ndarray:
@@ -307,8 +339,9 @@ def _sums_out(n: int, model: Model) -> Callable:
         k = Known(left, right, model)
         c, own = k.chunk, np.flatnonzero(k.owned)
         context, word = c.before[k.first[own]], c.places[k.first[own]]
-        size = len(c.words) + 1
-        sums = np.concatenate([spread(context, k.kept[own], size), spread(context, k.counts[word], size)])
+        sums = np.empty((2 * DISCOUNTED + 2, len(c.words) + 1), np.int64)
+        spread(context, k.kept[own], sums[: DISCOUNTED + 1])
+        spread(context, k.counts[word], sums[DISCOUNTED + 1 :])
         has = sums.any(axis=0)
         edges, rows, number = _buckets(c.words, n), [], left.column("chunk")[0].as_py()
         for b in range(n):
@@ -328,19 +361,21 @@ def _weights_back(model: Model) -> Callable:
         """left: sums of contexts; right: the words that chunks have in this bucket. Back: for each chunk its words' weights."""
         rows: dict[str, list] = {"bucket": [], "chunk": [], "payload": []}
         if right.num_rows:
-            chunks, sizes, words, total, inverse, _ = _merged(right)
-            first = dict(zip(chunks, np.cumsum(sizes) - sizes))
-            sums = np.zeros((2 * DISCOUNTED + 2, len(words)), np.int64)
-            for number, payload in zip(left.column("chunk").to_pylist(), left.column("payload")):
-                at, *own = unpack(payload.as_py())
-                place = inverse[first[number] + at.astype(np.int64)]
-                sums[:, place] += np.stack([x.astype(np.int64) for x in own])
-            weight, more = model.weights(sums, total)
-            for number, size in zip(chunks, sizes):
-                at = inverse[first[number] : first[number] + size]
-                rows["bucket"].append(right.column("bucket")[0].as_py())
-                rows["chunk"].append(number)
-                rows["payload"].append(pack(weight[at], more[at].astype(np.uint8)))
+            chunks, keys, counts = _messages(right)
+            place = {number: i for i, number in enumerate(chunks)}
+            sent = [(place[number], unpack(payload.as_py())) for number, payload in zip(left.column("chunk").to_pylist(), left.column("payload"))]
+            weights, raised = ([np.empty(len(k), kind) for k in keys] for kind in (np.float64, np.uint8))
+            for own, at, total, inverse, _ in _merged(keys, counts):
+                sums = np.zeros((2 * DISCOUNTED + 2, len(total)), np.int64)
+                for i, (has, *parts) in sent:
+                    of = slice(*np.searchsorted(has, np.array([own[i].start, own[i].stop], np.uint64)))
+                    sums[:, inverse[at[i]][has[of].astype(np.int64) - own[i].start]] += np.stack([x[of].astype(np.int64) for x in parts])
+                weight, more = model.weights(sums, total)
+                weight, more = weight[inverse], more[inverse]
+                for w, m, x, y in zip(weights, raised, own, at):
+                    w[x], m[x] = weight[y], more[y]
+            rows["bucket"] = [right.column("bucket")[0].as_py()] * len(chunks)
+            rows["chunk"], rows["payload"] = chunks, [pack(w, m) for w, m in zip(weights, raised)]
         return pa.Table.from_batches([_rows(rows, MESSAGE)])
 
     return run
@@ -349,6 +384,16 @@ def _weights_back(model: Model) -> Callable:
 SCORES = {"key": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
+def _pieces(ends: np.ndarray) -> Iterator[slice]:
+    """Documents by their last tokens' ends, in stretches of PIECE tokens or one document."""
+    at = 0
+    while at < len(ends):
+        begin = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, begin + PIECE, side="right")))
+        yield slice(at, to)
+        at = to
+
+
 def _scores(model: Model, begin: tuple[float, bool, int]) -> Callable:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -358,14 +403,19 @@ def _scores(model: Model, begin: tuple[float, bool, int]) -> Callable:
         answers = _assembled(right, 2)
         weight = np.concatenate([*(a[1] for a in answers), [begin[0]]])
         total = np.append(k.counts, begin[2]) + np.concatenate([*(a[2] for a in answers), [begin[1]]])
-        kept = k.kept[k.inverse]
-        unigram = k.p1[c.places]
-        p = np.where(kept > 0, k.discounted[k.inverse] / np.maximum(total[c.before], 1), weight[c.before] * unigram)
-        counts = k.counts[c.places]
-        base = np.log10((counts + 1) / (model.tokens + 1.0 * (model.kinds + 1)))
-        per = lambda x: np.add.reduceat(x, c.starts)
+        known, base, score = (np.empty(len(c.starts), kind) for kind in (np.int64, np.float64, np.float64))
+        ends = np.append(c.starts[1:], len(c.places))
+        for docs in _pieces(ends):
+            own = slice(c.starts[docs.start], ends[docs.stop - 1])
+            places, before, gram = c.places[own], c.before[own], k.inverse[own]
+            p = np.where(k.kept[gram] > 0, k.discounted[gram] / np.maximum(total[before], 1), weight[before] * k.p1[places])
+            counts = k.counts[places]
+            starts = c.starts[docs] - own.start
+            known[docs] = np.add.reduceat((counts > 0).astype(np.int64), starts)
+            base[docs] = np.add.reduceat(np.log10((counts + 1) / (model.tokens + 1.0 * (model.kinds + 1))), starts)
+            score[docs] = np.add.reduceat(np.log10(p), starts)
         ids = [None if f & 2 else i for i, f in zip(c.ids.tolist(), c.flags.tolist())]
-        return pa.Table.from_batches([_rows({"key": ids, "held_out": (c.flags & 1).astype(bool), "n_tokens": c.lengths, "n_known": per((counts > 0).astype(np.int64)), "train_tokens": [model.tokens] * len(ids), "base_score": per(base), "score": per(np.log10(p))}, SCORES)])
+        return pa.Table.from_batches([_rows({"key": ids, "held_out": (c.flags & 1).astype(bool), "n_tokens": c.lengths, "n_known": known, "train_tokens": [model.tokens] * len(ids), "base_score": base, "score": score}, SCORES)])
 
     return run
 

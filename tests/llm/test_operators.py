@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,6 +363,46 @@ def test_katz_in_small_chunks(docs, rows, monkeypatch):
     assert all(got[d][0] == pytest.approx(w[5]) for d, w in want.items())
 
 
+def test_katz_holds_little_of_a_bucket():
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    kinds = np.unique(rnd.integers(0, (1 << 64) - 1, 200_000, dtype=np.uint64, endpoint=True))
+    sent = [(np.sort(rnd.choice(kinds, 30_000, replace=False)), rnd.integers(0, 9, 30_000).astype(np.uint8)) for _ in range(30)]
+    table = pa.table({"bucket": pa.array([3] * 30, pa.int64()), "chunk": pa.array(range(30), pa.int64()), "payload": pa.array([katz.pack(*x) for x in sent], pa.binary())})
+    tracemalloc.start()
+    back = katz._count_bigrams(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35 * 30 * 30_000, "bytes an entry"
+    got = {c: katz.unpack(p) for c, p in zip(back.column("chunk").to_pylist(), back.column("payload").to_pylist()) if c != katz.WHOLE}
+    total, first = Counter(), {}
+    for i, (keys, counts) in enumerate(sent):
+        for k, c in zip(keys.tolist(), counts.tolist()):
+            total[k] += c
+            first.setdefault(k, i)
+    for i, (keys, _) in enumerate(sent):
+        assert got[i][0].tolist() == [total[k] for k in keys.tolist()]
+        assert got[i][1].tolist() == [total[k] > 0 and first[k] == i for k in keys.tolist()]
+
+
+def test_katz_in_pieces(spark):
+    """One bucket of words and one of bigrams, and chunks, of several pieces each."""
+    rnd = random.Random(5)
+    word = lambda: f"w{min(rnd.randrange(600_000), rnd.randrange(1, 600_000) if rnd.random() < 0.5 else 50):x}"
+    rows = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([700] * 400 + [200_000] + [1] * 50)]
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = by_id(katz.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    want, _ = brute.katz(rows)
+    assert len({w for _, t in rows for w in t.split()}) > katz.PIECE
+    for d, w in want.items():
+        assert got[d][:4] == w[:4] and got[d][4:] == pytest.approx(w[4:]), d
+
+
 # 8: line dedup
 
 
