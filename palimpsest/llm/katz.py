@@ -14,7 +14,7 @@ Tables are partitioned by hash and everything moves as packed arrays. The corpus
                                      back: the context's weight
 and each chunk scores its documents. Sums are of whole numbers, so weights don't depend on the order of the messages. A frequent word or bigram is one entry of a chunk at most, so none makes a group
 large; no task holds more than a chunk or a bucket, and works on `PIECE` tokens or entries of it at a time. There are as many buckets and partitions as the number of chunks asks
-for; a message holds one entry at least, so however many chunks and buckets there are, messages never outnumber entries.
+for, and a bucket is a partition, as hashes of bucket numbers would put several into one and none into others; a message holds one entry at least, so however many chunks and buckets there are, messages never outnumber entries.
 
 Words stand as 64-bit hashes. Defined cases: a null or empty text has only its end token; a very long text is a chunk of its
 own; a null doc_id counts as training; rows of equal doc_id are scored each; with no training text all mass is on
@@ -107,8 +107,8 @@ def _rows(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in types.items()], names=list(types))
 
 
-MESSAGE = {"bucket": pa.int64(), "chunk": pa.int64(), "payload": pa.binary()}
-MESSAGE_SQL = "bucket long, chunk long, payload binary"
+MESSAGE = {"bucket": pa.int32(), "chunk": pa.int64(), "payload": pa.binary()}
+MESSAGE_SQL = "bucket int, chunk long, payload binary"
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -420,18 +420,23 @@ def _scores(model: Model, begin: tuple[float, bool, int]) -> Callable:
     return run
 
 
+def dealt(messages: DataFrame, n: int) -> DataFrame:
+    """Messages in n partitions, one for each bucket; grouping them by bucket moves no row."""
+    return messages.repartitionById(n, "bucket")
+
+
 def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of df; trained on the other folds."""
     chunks, m = coded(df, key, text, folds, fold)
     n = max(shuffle_width(df.sparkSession), -(-chunks.count() // CHUNKS))
-    words_sent = chunks.mapInArrow(_words_out(n), MESSAGE_SQL).repartition(n, "bucket")
+    words_sent = dealt(chunks.mapInArrow(_words_out(n), MESSAGE_SQL), n)
     words = settled(words_sent.groupBy("bucket").applyInArrow(_count_words, MESSAGE_SQL), "words")
-    bigrams = settled(chunks.mapInArrow(_bigrams_out(n), MESSAGE_SQL).repartition(n, "bucket").groupBy("bucket").applyInArrow(_count_bigrams, MESSAGE_SQL), "bigrams")
+    bigrams = settled(dealt(chunks.mapInArrow(_bigrams_out(n), MESSAGE_SQL), n).groupBy("bucket").applyInArrow(_count_bigrams, MESSAGE_SQL), "bigrams")
     model = fitted(words, bigrams)
     answers = words.select(F.lit(0).alias("kind"), "*").union(bigrams.select(F.lit(1).alias("kind"), "*")).where(F.col("chunk") != WHOLE)
     by_chunk = chunks.groupBy("chunk")
     sums = settled(by_chunk.cogroup(answers.repartition(m, "chunk").groupBy("chunk")).applyInArrow(_sums_out(n, model), MESSAGE_SQL), "sums")
-    back = sums.where(F.col("bucket") != BEGINS).repartition(n, "bucket").groupBy("bucket").cogroup(words_sent.groupBy("bucket")).applyInArrow(_weights_back(model), MESSAGE_SQL)
+    back = dealt(sums.where(F.col("bucket") != BEGINS), n).groupBy("bucket").cogroup(words_sent.groupBy("bucket")).applyInArrow(_weights_back(model), MESSAGE_SQL)
     begin = _begin(sums, model, df, key, folds, fold)
     both = answers.union(back.select(F.lit(2).alias("kind"), "*"))
     types = "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -403,6 +403,13 @@ def test_katz_in_pieces(spark):
         assert got[d][:4] == w[:4] and got[d][4:] == pytest.approx(w[4:]), d
 
 
+def test_katz_deals_buckets_evenly(spark):
+    messages = spark.createDataFrame([(b, c, b"x") for b in range(51) for c in range(3)], katz.MESSAGE_SQL)
+    dealt = katz.dealt(messages.repartition(7), 51)
+    places = dealt.groupBy(F.spark_partition_id()).agg(F.count_distinct("bucket"), F.count("*")).collect()
+    assert len(places) == 51 and all(p[1:] == (1, 3) for p in places)
+
+
 # 8: line dedup
 
 
