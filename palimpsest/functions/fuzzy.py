@@ -7,14 +7,16 @@ windows, and the shorter ones at both ends. The best window counts; among equal
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.rules import TEMPLATES
+from palimpsest.functions.text import normalized_value
 
 FOUND = T.StructType([T.StructField("best", T.DoubleType()), T.StructField("template", T.StringType())])
 
@@ -82,33 +84,66 @@ def best_template(text: str | None, ratio=partial_ratio) -> tuple[float, str]:
     return best, found
 
 
-#: Characters whose windows are compared at once.
-SLICE = 20_000
+#: Characters of texts that are taken at once, and of them those whose windows are: few, so that their states stay in the processor's cache.
+SLICE, BLOCK = 200_000, 16_000
+LONGEST = max(map(len, TEMPLATES))
 
 
-def _long_texts(texts: list[str], template: str) -> np.ndarray:
-    """partial_ratio of each text, all longer than the template.
+def _alphabet(text: np.ndarray) -> np.ndarray:
+    """Each character's place among those that templates have, from 1; 0 for others."""
+    return _PLACES[np.minimum(text, len(_PLACES) - 1)]
+
+
+def _tables() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    known = sorted({ord(c) for t in TEMPLATES for c in t})
+    places = np.zeros(known[-1] + 2, np.intp)
+    places[known] = np.arange(1, len(known) + 1)
+    both = []
+    for t in TEMPLATES:
+        # Half the width where it is enough: half the bytes to move.
+        kind = np.uint32 if len(t) <= 32 else np.uint64
+        both.append(tuple(np.array([0, *(sum(1 << i for i, c in enumerate(order) if ord(c) == k) for k in known)], kind) for order in (t, t[::-1])))
+    return places, both
+
+
+_PLACES, _MASKS = _tables()
+
+
+def _long_texts(texts: list[str]) -> np.ndarray:
+    """partial_ratio of each template, a row, with each text, all longer than any template.
 
     Full windows of all texts advance together over one array. The shorter windows at the ends need no windows of their
     own: the state after k characters, from the front or from the back, is that of the window of k characters.
     """
-    m = len(template)
     lengths = np.array([len(t) for t in texts], np.int64)
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     first = np.cumsum(lengths) - lengths
-    full, forward = np.uint64((1 << m) - 1), _char_masks(template, chars)
-    state = np.full(len(chars) - m + 1, (1 << 64) - 1, np.uint64)
-    for j in range(m):
-        state = _step(state, forward[j : j + len(state)])
-    counts = np.append(np.bitwise_count(~state & full), np.uint8(0)).astype(np.int64)
-    ends = np.stack([first, first + lengths - m + 1], 1).ravel()
-    best = 100.0 * np.maximum.reduceat(counts, ends)[::2] / m
-    for masks, start, step in ((forward, first, 1), (_char_masks(template[::-1], chars), first + lengths - 1, -1)):
-        state = np.full(len(texts), (1 << 64) - 1, np.uint64)
-        for k in range(m - 1):
-            state = _step(state, masks[start + step * k])
-            best = np.maximum(best, 200.0 * np.bitwise_count(~state & full) / (m + k + 1))
-    return best
+    chars = _alphabet(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
+    k = np.arange(LONGEST - 1)
+    edges = chars[first + k[:, None]], chars[first + lengths - 1 - k[:, None]]
+    out = np.empty((len(TEMPLATES), len(texts)))
+    for row, (template, masks) in enumerate(zip(TEMPLATES, _MASKS)):
+        m, kind = len(template), masks[0].dtype.type
+        full = kind((1 << m) - 1)
+        of_char = masks[0][chars]
+        counts = np.zeros(len(chars) - m + 2, np.uint8)
+        for start in range(0, len(chars) - m + 1, BLOCK):
+            size = min(BLOCK, len(chars) - m + 1 - start)
+            state, u, v = np.full(size, ~kind(0), kind), np.empty(size, kind), np.empty(size, kind)
+            for j in range(start, start + m):
+                np.bitwise_and(state, of_char[j : j + size], out=u)
+                np.add(state, u, out=v)
+                np.subtract(state, u, out=state)
+                np.bitwise_or(v, state, out=state)
+            counts[start : start + size] = np.bitwise_count(~state & full)
+        ends = np.stack([first, first + lengths - m + 1], 1).ravel()
+        best = 100.0 * np.maximum.reduceat(counts, ends)[::2].astype(np.int64) / m
+        for of_edge, table in zip(edges, masks):
+            state = np.full(len(texts), ~kind(0), kind)
+            for k in range(m - 1):
+                state = _step(state, table[of_edge[k]])
+                best = np.maximum(best, 200.0 * np.bitwise_count(~state & full) / (m + k + 1))
+        out[row] = best
+    return out
 
 
 def best_templates(texts: list[str | None]) -> list[tuple[float, str]]:
@@ -117,13 +152,13 @@ def best_templates(texts: list[str | None]) -> list[tuple[float, str]]:
     held: list[str] = []
     size = 0
     for t in [*dict.fromkeys(texts), None]:
-        if t and len(t) > max(map(len, TEMPLATES)):
+        if t and len(t) > LONGEST:
             held.append(t)
             size += len(t)
         elif t is not None:
             found[t] = best_template(t)
         if held and (t is None or size >= SLICE):
-            scores = np.stack([_long_texts(held, template) for template in TEMPLATES])
+            scores = _long_texts(held)
             first = scores.argmax(0)
             for i, text in enumerate(held):
                 best = float(scores[first[i], i])
@@ -133,18 +168,40 @@ def best_templates(texts: list[str | None]) -> list[tuple[float, str]]:
     return [found[t] for t in texts]
 
 
-@F.pandas_udf(FOUND)
-def _indel(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(best_templates(texts.tolist()), columns=["best", "template"])
+def in_pieces(texts: pa.Array, of: Callable[[list[str | None]], list[tuple[float, str]]]) -> pa.Array:
+    """What `of` finds for the texts of a batch, of which only a piece is held as Python strings at a time."""
+    best, template = [], []
+    rows = max(1, SLICE * 4 * len(texts) // max(1, texts.nbytes))
+    for start in range(0, len(texts), rows):
+        for score, found in of(texts.slice(start, rows).to_pylist()):
+            best.append(score)
+            template.append(found)
+    return pa.StructArray.from_arrays([pa.array(best, pa.float64()), pa.array(template, pa.string())], ["best", "template"])
 
 
-@F.pandas_udf(FOUND)
-def _difflib(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_template(t, difflib_ratio) for t in texts], columns=["best", "template"])
+@F.arrow_udf(FOUND)
+def _indel(texts: pa.Array) -> pa.Array:
+    return in_pieces(texts, best_templates)
+
+
+@F.arrow_udf(FOUND)
+def _difflib(texts: pa.Array) -> pa.Array:
+    return in_pieces(texts, lambda part: [best_template(t, difflib_ratio) for t in part])
+
+
+@F.arrow_udf(FOUND)
+def _normalized_indel(texts: pa.Array) -> pa.Array:
+    return in_pieces(texts, lambda part: best_templates([normalized_value(t) for t in part]))
 
 
 # Catalyst would otherwise plan them once for a filter and once for the projection.
 _BACKENDS = {"indel": _indel.asNondeterministic(), "difflib": _difflib.asNondeterministic()}
+_OF_TEXTS = _normalized_indel.asNondeterministic()
+
+
+def fuzzy_of_text(text: Column) -> Column:
+    """fuzzy_best of the normalized text, with both steps in one worker."""
+    return _OF_TEXTS(text)
 
 
 def fuzzy_best(norm: Column, backend: str) -> Column:
